@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import _docs, packing, token_counts
+from kinspan.llm import _docs, licenses, packing, quality_rules, sentencepieces, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,9 +24,31 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.evaluate(_docs.read(spark, sf_dir))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs.read(spark, sf_dir))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(_docs.read(spark, sf_dir), PIECE_BPE)
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.crc32("span_ends").alias("spans_crc32"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_license_scan": op7_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}

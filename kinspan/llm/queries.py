@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import _docs, licenses, packing, quality_rules, sentencepieces, token_counts
+from kinspan.llm import _docs, language, licenses, packing, quality_rules, sentencepieces, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs.read(spark, sf_dir)
+    profiles = language.fit(docs.where(~language.held_out()))
+    found = language.predict(docs, profiles)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.evaluate(_docs.read(spark, sf_dir))
 
@@ -45,6 +52,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,

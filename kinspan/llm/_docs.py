@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -87,3 +88,16 @@ class Cache(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one of this machine if none is set and all runs here."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp()}"
+        spark.sparkContext.setCheckpointDir(folder)
+    elif not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import _docs, language, licenses, packing, quality_rules, sentencepieces, token_counts
+from kinspan.llm import _docs, language, licenses, media, packing, quality_rules, sentencepieces, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,6 +50,21 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_columns(_docs.read(spark, sf_dir))
+    payload, stored_form = F.col("payload"), F.col("media")
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"),
+        F.length(stored_form).cast("long").alias("media_bytes"),
+        F.sha2(stored_form, 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -57,6 +72,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}

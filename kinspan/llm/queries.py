@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import _docs, language, licenses, media, packing, quality_rules, sentencepieces, token_counts
+from kinspan.llm import _docs, language, licenses, media, packing, quality_model, quality_rules, sentencepieces, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_docs.read(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_docs.read(spark, sf_dir), WORD_BPE)
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,

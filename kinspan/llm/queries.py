@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import _docs, language, licenses, media, packing, quality_model, quality_rules, sentencepieces, token_counts
+from kinspan.llm import _docs, language, licenses, media, packing, quality_model, quality_rules, sentencepieces, substrings, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +35,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_docs.read(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.evaluate(_docs.read(spark, sf_dir))
 
@@ -72,6 +77,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
@@ -80,4 +86,29 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        with docs as (
+            select row_number() over () as nr, doc_id,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+            from documents
+        ), starts as (
+            select nr, doc_id, words, unnest(range(1, len(words) - 18)) as i from docs
+        ), windows as (
+            select nr, i, row_number() over (
+                partition by array_to_string(words[i : i + 19], ' ') order by doc_id, nr, i) as nth
+            from starts
+        ), gone as (
+            select distinct nr, unnest(range(i, i + 20)) as at from windows where nth > 1
+        ), each as (
+            select nr, unnest(words) as word, unnest(range(1, len(words) + 1)) as at from docs
+        ), kept as (
+            select each.nr, string_agg(word, ' ' order by each.at) as text, count(*) as n
+            from each left join gone on each.nr = gone.nr and each.at = gone.at
+            where gone.at is null group by each.nr
+        )
+        select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed,
+               sha256(coalesce(text, '')) as kept_sha256
+        from docs left join kept using (nr)
+    """,
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspan.llm import _docs, language, licenses, media, packing, quality_model, quality_rules, sentencepieces, substrings, token_counts
+from kinspan.llm import _docs, language, licenses, media, near_duplicates, packing, quality_model, quality_rules, sentencepieces, substrings, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -59,6 +59,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates.classify(_docs.read(spark, sf_dir))
+    return classes.select("doc_id", "class_id", "n_class", "kept")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_columns(_docs.read(spark, sf_dir))
     payload, stored_form = F.col("payload"), F.col("media")
@@ -83,6 +88,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_media_columns": op10_media_columns,
 }
 

@@ -170,8 +170,8 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
         .mapInArrow(_postings(tokenizer), "pre_token binary, block long, postings binary")
         .repartition(parts, "pre_token")
     )
-    # All columns take part, so that this and the join read the same exchange.
-    distinct = postings.groupBy("pre_token").agg(F.max("block").alias("_b"), F.max(F.length("postings")).alias("_l"))
+    # Each column itself takes part, so that this and the join read the same exchange.
+    distinct = postings.groupBy("pre_token").agg(F.count("block").alias("_b"), F.count("postings").alias("_p"))
     counts = distinct.select("pre_token", pieces("pre_token").alias("n"))
     return (
         postings.join(counts, "pre_token")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch that reaches a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
@@ -47,7 +48,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose function is built once in each task, so that models load on the executor."""
     bound_batches(df.sparkSession)
 
@@ -60,6 +61,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text the function built in each task keeps."""
+    at = docs.columns.index("text")
+
+    def build():
+        keep = make()
+
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield batch.filter(pa.array(keep(utf8(batch.column(at))), pa.bool_()))
+
+        return each
+
+    return map_batches(docs, build, docs.schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; null is empty."""
     if not pa.types.is_large_binary(column.type) and not pa.types.is_binary(column.type):

@@ -386,10 +386,18 @@ def classify(docs: DataFrame) -> DataFrame:
     )
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """`docs` with doc (doc_id, or the least long for null) and tie (a hash of the text)."""
+def keys(docs: DataFrame, prefix: str = "", *columns: str) -> DataFrame:
+    """doc (doc_id, or the least long for null) and tie (a hash of the text) after the named columns, else doc_id, text."""
     return docs.select(
-        "*",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc"),
-        F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)).alias("tie"),
+        *(columns or ("doc_id", "text")),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias(f"{prefix}doc"),
+        F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)).alias(f"{prefix}tie"),
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One row of each class of `classify`, with all its columns."""
+    own = ["__own_doc", "__own_tie"]
+    kept = classify(docs).where("kept").select(*(F.col(c.removeprefix("__own_")).alias(c) for c in own))
+    one = keys(docs, "__own_", "*").join(kept, own, "left_semi")
+    return one.dropDuplicates(own).drop(*own)  # of wholly equal rows one stays

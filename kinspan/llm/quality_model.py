@@ -265,3 +265,19 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return each
 
     return _docs.map_batches(_docs.texts(docs), make, "doc_id long, posterior double, score double, kept boolean")
+
+
+def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of `docs` that `classify` keeps, with all their columns."""
+    fitted = fit(docs) if model is None else model
+
+    def make():
+        reader = Reader()
+
+        def each(texts: list[bytes]) -> list[bool]:
+            found = map(reader.read, texts)
+            return [f is not None and fitted.score(*f[1:]) >= KEEP for f in found]
+
+        return each
+
+    return _docs.keep_rows(docs, make)

@@ -141,6 +141,11 @@ def sample_of(docs: DataFrame, rows: int = SAMPLE) -> list[bytes]:
     return [r.text.encode() for r in narrow.where(F.col("doc_id").isin(ids)).limit(rows).collect()]
 
 
+def passes(d: Document, cascade: list[Callable[[Document], bool]]) -> bool:
+    """Stops at the first rule that rejects."""
+    return not base_failed(d) and not any(rule(d) for rule in cascade)
+
+
 def evaluate(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Measures and verdict of each row of `docs` (doc_id, text).
 
@@ -162,7 +167,7 @@ def evaluate(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
             for text in _docs.utf8(batch.column(1)):
                 d = measure(text, hash_of)
                 failed = base_failed(d)
-                kept = not failed and not any(rule(d) for rule in cascade)  # stops at the first that rejects
+                kept = passes(d, cascade)
                 rows.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, kept))
             columns = list(zip(*rows))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
@@ -174,3 +179,15 @@ def evaluate(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
         return each
 
     return _docs.map_batches(_docs.texts(docs), make, SCHEMA)
+
+
+def keep(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The rows of `docs` that `evaluate` keeps, with all their columns."""
+    names = plan(sample_of(docs)) if order is None else order
+
+    def make():
+        hash_of = _docs.Cache(xxhash.xxh3_64_intdigest)
+        cascade = [RULES[name] for name in names]
+        return lambda texts: [passes(measure(text, hash_of), cascade) for text in texts]
+
+    return _docs.keep_rows(docs, make)

@@ -163,16 +163,15 @@ def _window_rows():
     return each
 
 
-def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter():
+    """Takes doc, tie, texts and marks of a batch; gives each text's words and which of them go."""
     hash_of = _docs.Cache(xxhash.xxh3_64_intdigest)
     before = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        doc_ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = _docs.utf8(batch.column(2))
+
+    def each(docs: list[int], ties: list[int], texts: list[bytes], marks: pa.Array) -> tuple[list, list[np.ndarray]]:
+        nonlocal before
         words = Words(texts, hash_of)
-        place, row = _places(batch.column(3))
+        place, row = _places(marks)
         low, run = _span(place)
         low = low + words.starts[row]
         change = np.zeros(len(words.hashes) + 1, np.int32)
@@ -186,48 +185,57 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(change, later, 1)
         np.add.at(change, later + WINDOW, -1)
         gone = np.cumsum(change[:-1]) > 0
-        n, removed, spans, kept = [], [], [], []
+        masks = []
         for k, own in enumerate(words.words):
             mask = gone[words.starts[k] : words.starts[k + 1]]
-            if (doc_ids[k], ties[k], texts[k]) == before and len(own) >= WINDOW:  # the same row again
+            if (docs[k], ties[k], texts[k]) == before and len(own) >= WINDOW:  # the same row again
                 mask = np.ones(len(own), bool)
-            before = doc_ids[k], ties[k], texts[k]
-            edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)) if len(own) else mask
-            n.append(len(own))
-            removed.append(int(np.count_nonzero(mask)))
-            spans.append(edges.tolist())
-            kept.append(b" ".join([x for x, g in zip(own, mask.tolist()) if not g] if removed[-1] else own))
+            before = docs[k], ties[k], texts[k]
+            masks.append(mask)
+        return words.words, masks
+
+    return each
+
+
+def _left(words: list[bytes], mask: np.ndarray) -> bytes:
+    return b" ".join([x for x, g in zip(words, mask.tolist()) if not g] if mask.any() else words)
+
+
+def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = _cutter()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc_ids = batch.column(0).to_pylist()
+        words, masks = cut(doc_ids, batch.column(1).to_pylist(), _docs.utf8(batch.column(2)), batch.column(3))
+        spans = [np.flatnonzero(np.diff(m, prepend=False, append=False)).tolist() if len(m) else [] for m in masks]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([None if x == NULL else x for x in doc_ids], pa.int64()),
-                pa.array(n, pa.int64()),
-                pa.array(removed, pa.int64()),
+                pa.array(map(len, words), pa.int64()),
+                pa.array([int(np.count_nonzero(m)) for m in masks], pa.int64()),
                 pa.array(spans, pa.list_(pa.int64())),
-                pa.array(kept, pa.binary()).cast(pa.string()),
+                pa.array(map(_left, words, masks), pa.binary()).cast(pa.string()),
             ],
             names=["doc_id", "n_words", "n_removed", "removed", "kept_text"],
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Remove from each text of `docs` (doc_id, text) the words of windows that start earlier elsewhere.
+def _keyed(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with doc (doc_id, or NULL) and tie (a hash of the text)."""
+    return docs.select(
+        "*",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias(f"{prefix}doc"),
+        F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)).alias(f"{prefix}tie"),
+    )
 
-    A window is WINDOW words in a row in one document; earlier is a smaller doc_id, or in the same document an earlier
-    start. Gives doc_id, n_words, n_removed, removed (where removed stretches start and stop, by turns, in words) and
-    kept_text (kept words joined by one space).
 
-    Null and empty texts have no words. A null doc_id comes before all others. Rows with equal doc_id are documents of
-    their own, in the order of a hash of their texts; of wholly equal rows all but one lose every window. An empty
-    table gives no rows. Further columns are not read.
-    """
+def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, tie and text, dealt out by document; doc, tie and again, the places of repeated paths and windows."""
     spark = docs.sparkSession
     _docs.bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _docs.texts(docs).select(
-        F.coalesce("doc_id", F.lit(NULL)).alias("doc"),
-        F.pmod(F.xxhash64("text"), F.lit(1 << TIE_BITS)).alias("tie"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    keyed = _keyed(_docs.texts(docs)).select("doc", "tie", F.coalesce("text", F.lit("")).alias("text"))
     paths = _docs.map_batches(keyed, _path_rows, "anchor long, path long, doc long, place long").repartition(parts, "anchor")
     # Each column takes part, so that this and the join read the same exchange.
     anchors = (
@@ -267,15 +275,62 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated = settled.where("nth > 1 or nth_of_all > 1").select(
         "doc", F.shiftright("place", WORD_BITS + RUN_BITS).alias("tie"), F.array("place").alias("again")
     )
-    marks = (
+    return whole, (
         by_doc.where(F.size("again") > 0)
         .select("doc", "tie", "again")
         .unionByName(repeated)
         .groupBy("doc", "tie")
         .agg(F.flatten(F.collect_list("again")).alias("again"))
     )
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """Remove from each text of `docs` (doc_id, text) the words of windows that start earlier elsewhere.
+
+    A window is WINDOW words in a row in one document; earlier is a smaller doc_id, or in the same document an earlier
+    start. Gives doc_id, n_words, n_removed, removed (where removed stretches start and stop, by turns, in words) and
+    kept_text (kept words joined by one space).
+
+    Null and empty texts have no words. A null doc_id comes before all others. Rows with equal doc_id are documents of
+    their own, in the order of a hash of their texts; of wholly equal rows all but one lose every window. An empty
+    table gives no rows. Further columns are not read.
+    """
+    whole, marks = _marks(docs)
     return (
         whole.join(marks, ["doc", "tie"], "left")
         .select("doc", "tie", "text", "again")
         .mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, removed array<long>, kept_text string")
     )
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """`docs` with all its columns; a text that `remove_repeats` takes words from is what it keeps.
+
+    n_chars, where there is such a column, follows the text. Texts without repeats stay as they are.
+    """
+    _, marks = _marks(docs)
+    own = ["__own_doc", "__own_tie"]
+    marks = marks.select(F.col("doc").alias(own[0]), F.col("tie").alias(own[1]), F.col("again").alias("__own_again"))
+    names = docs.columns
+    joined = _keyed(docs, "__own_").join(marks, own, "left").select(*names, *own, "__own_again")
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = _cutter()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = len(names)
+            words, masks = each(
+                batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), _docs.utf8(batch.column(at)), batch.column(n + 2)
+            )
+            before = batch.column(at).to_pylist()
+            after = [_left(w, m).decode("utf-8", "replace") if m.any() else b for w, m, b in zip(words, masks, before)]
+            columns = list(batch.columns[:n])
+            columns[at] = pa.array(after, batch.column(at).type)
+            if "n_chars" in names and pa.types.is_integer(batch.column(k := names.index("n_chars")).type):
+                sizes = [len(a) if m.any() else c for a, m, c in zip(after, masks, batch.column(k).to_pylist())]
+                columns[k] = pa.array(sizes, batch.column(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)

@@ -391,7 +391,7 @@ def keys(docs: DataFrame, prefix: str = "", *columns: str) -> DataFrame:
     return docs.select(
         *(columns or ("doc_id", "text")),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias(f"{prefix}doc"),
-        F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)).alias(f"{prefix}tie"),
+        F.coalesce(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)), F.lit(0)).alias(f"{prefix}tie"),
     )
 
 

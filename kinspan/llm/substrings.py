@@ -226,7 +226,8 @@ def _keyed(docs: DataFrame, prefix: str = "") -> DataFrame:
     return docs.select(
         "*",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias(f"{prefix}doc"),
-        F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)).alias(f"{prefix}tie"),
+        # Plainly never null: else a join would filter one side below the exchange that both sides share.
+        F.coalesce(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)), F.lit(0)).alias(f"{prefix}tie"),
     )
 
 
@@ -241,7 +242,7 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors = (
         paths.groupBy("anchor")
         .agg(F.count("doc").alias("_n"), F.count("place").alias("_p"), F.min("path").alias("_low"), F.max("path").alias("_high"))
-        .where("_n > 1")
+        .where("_n > 1 and _p > 1")
         .select(F.col("anchor").alias("_anchor"), (F.col("_low") < F.col("_high")).alias("branches"))
     )
     in_order = Window.partitionBy("anchor", "path").orderBy("doc", "place")
@@ -256,7 +257,8 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.collect_list(F.when(~F.col("again"), F.col("place"))).alias("open"),
     )
     whole = keyed.repartition(parts, "doc", "tie")
-    opened = by_doc.where(F.size("open") > 0).select("doc", "tie", "open")
+    # Both lists take part in both, so that they read the same exchange.
+    opened = by_doc.where((F.size("open") > 0) & (F.size("again") >= 0)).select("doc", "tie", "open")
     windows = _docs.map_batches(
         whole.join(opened, ["doc", "tie"]).select("doc", "tie", "text", "open"),
         _window_rows,
@@ -276,7 +278,7 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "doc", F.shiftright("place", WORD_BITS + RUN_BITS).alias("tie"), F.array("place").alias("again")
     )
     return whole, (
-        by_doc.where(F.size("again") > 0)
+        by_doc.where((F.size("again") > 0) & (F.size("open") >= 0))
         .select("doc", "tie", "again")
         .unionByName(repeated)
         .groupBy("doc", "tie")

@@ -35,7 +35,9 @@ def merge(
     closed = short.select(*PAIR, "gap_start", "gap_end", F.lit(True).alias("_closed"))
     marked = placed.join(closed, [*PAIR, "gap_start", "gap_end"], "left")
     starts = F.col("gap_start").isNull() | (apart & F.col("_closed").isNull())
-    island = F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # Of equal segments the one that may start an island has the least end before it; it has to come first again.
+    again = Window.partitionBy(*PAIR).orderBy("pid1", "pid2", F.col("gap_start").asc_nulls_first())
+    island = F.sum(starts.cast("int")).over(again.rowsBetween(Window.unboundedPreceding, 0))
     return (
         marked.withColumn("_island", island)
         .groupBy(*PAIR, "_island")

@@ -273,7 +273,7 @@ _OVERLAY = f"""{_SPARSE}, {_REGIONS}, {_RANGES}, cuts as (
 _ISLANDS = """, mark as (
         select *, case when before is null or (before < pid1 and not {closed}) then 1 else 0 end as starts from prev
     ), island as (
-        select *, sum(starts) over (partition by chrom, sid1, sid2 order by pid1, pid2 rows unbounded preceding) as nr from mark
+        select *, sum(starts) over (partition by chrom, sid1, sid2 order by pid1, pid2, before nulls first rows unbounded preceding) as nr from mark
     ) select chrom, sid1, sid2, cast(min(pid1) as int) as pid1, cast(max(pid2) as int) as pid2 from island group by chrom, sid1, sid2, nr"""
 _PREV = _SEG + """, prev as (
         select *, max(pid2) over (partition by chrom, sid1, sid2 order by pid1, pid2 rows between unbounded preceding and 1 preceding) as before from seg

@@ -49,10 +49,10 @@ TEMPLATES = {
     "as-is": ("the software is provided as is without warranty of any kind express or implied", "without warranty of any kind"),
 }
 
-#: Words of highest IDF by which a template is indexed, and how far a mandatory phrase may be from where the alignment puts it.
+#: Words of highest IDF by which a template is indexed (besides two of its mandatory phrase), and how far a mandatory phrase may be from where the alignment puts it.
 INDEXED, DRIFT = 8, 3
 #: A template counts from this share of its IDF on.
-LEAST = 0.5
+LEAST = 0.3
 
 _LETTERS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256)
@@ -70,16 +70,18 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Templates by word. idf: of every template word, over all documents."""
+    """Templates by word. idf: of every template word, over all documents; present: those that any document has."""
 
     idf: dict[bytes, float]
+    present: frozenset[bytes]
     templates: list[tuple[str, list[bytes], list[bytes]]]  # label, words, mandatory phrase
     base: list[tuple[str, list[bytes]]]
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
 
     def __post_init__(self):
-        for number, (_, words, _) in enumerate(self.templates):
-            rare = set(sorted(set(words), key=lambda w: (-self.idf[w], w))[:INDEXED])
+        for number, (_, words, phrase) in enumerate(self.templates):
+            rank = lambda w: (w not in self.present, -self.idf[w], w)
+            rare = {*sorted(set(words), key=rank)[:INDEXED], *sorted(set(phrase), key=rank)[:2]}
             for at, word in enumerate(words):
                 if word in rare:
                     self.postings[word].append((number, at))
@@ -163,7 +165,7 @@ def build_index(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLAT
     vocabulary = frozenset(w for _, words, phrase in split for w in words + phrase) | {w for _, p in phrases for w in p}
     n, df = document_frequencies(docs, vocabulary)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in sorted(vocabulary)}
-    return Index(idf, split, phrases)
+    return Index(idf, frozenset(df), split, phrases)
 
 
 def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:

@@ -245,10 +245,11 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where("_n > 1 and _p > 1")
         .select(F.col("anchor").alias("_anchor"), (F.col("_low") < F.col("_high")).alias("branches"))
     )
+    # Ranks, not numbers: wholly equal rows have the same place, and are told apart at the end.
     in_order = Window.partitionBy("anchor", "path").orderBy("doc", "place")
     met = (
         paths.join(anchors, paths.anchor == anchors._anchor)
-        .withColumn("nth", F.row_number().over(in_order))
+        .withColumn("nth", F.dense_rank().over(in_order))
         .where("branches or nth > 1")
         .select("doc", F.shiftright("place", WORD_BITS + RUN_BITS).alias("tie"), "place", (F.col("nth") > 1).alias("again"))
     )
@@ -266,11 +267,11 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # A window that very many documents share is settled in parts first; the first of each part goes on.
     salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("anchor", "content", "salt").orderBy("doc", "place"))
+        "nth", F.dense_rank().over(Window.partitionBy("anchor", "content", "salt").orderBy("doc", "place"))
     )
     settled = salted.withColumn(
         "nth_of_all",
-        F.row_number().over(
+        F.dense_rank().over(
             Window.partitionBy("anchor", "content", F.when(F.col("nth") > 1, F.struct("salt", "nth"))).orderBy("doc", "place")
         ),
     )
@@ -301,6 +302,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return (
         whole.join(marks, ["doc", "tie"], "left")
         .select("doc", "tie", "text", "again")
+        .sortWithinPartitions("doc", "tie")  # brings wholly equal rows together, whatever the join
         .mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, removed array<long>, kept_text string")
     )
 
@@ -314,7 +316,8 @@ def cut(docs: DataFrame) -> DataFrame:
     own = ["__own_doc", "__own_tie"]
     marks = marks.select(F.col("doc").alias(own[0]), F.col("tie").alias(own[1]), F.col("again").alias("__own_again"))
     names = docs.columns
-    joined = _keyed(docs, "__own_").join(marks, own, "left").select(*names, *own, "__own_again")
+    keyed = _keyed(docs, "__own_").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own)
+    joined = keyed.join(marks, own, "left").select(*names, *own, "__own_again").sortWithinPartitions(*own)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,3 +77,27 @@ def test_stream_totals(spark, tmp_path):
 
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
+
+
+def test_bcf(spark, tmp_path):
+    import gzip
+    import struct
+
+    from kinspan.sources import bcf
+
+    header = '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="g">\n'
+    header += "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\n\0"
+
+    def record(pos, calls):
+        shared = struct.pack("<iiifII", 0, pos - 1, 1, 0.0, 2 << 16, 2 << 24 | 2) + b"\x07" + b"\x17A\x17C" + b"\x00"
+        own = b"\x11\x01" + b"\x11\x05\x06"  # DP, a byte for each sample
+        own += b"\x11\x02" + b"\x21" + bytes(calls)
+        return struct.pack("<II", len(shared), len(own)) + shared + own
+
+    body = record(5, [2, 5, 0, 5]) + record(3, [4, 4, 2, 2]) + record(5, [4, 4, 4, 4])
+    data = b"BCF\x02\x02" + struct.pack("<I", len(header)) + header.encode() + body
+    (tmp_path / "v.bcf").write_bytes(gzip.compress(data[:40]) + gzip.compress(data[40:]))
+    samples, positions, gt = bcf.bcf(spark, str(tmp_path / "v.bcf"), "1")
+    assert sorted(map(tuple, samples.collect())) == [(0, "a"), (1, "b")]
+    assert sorted(r.bp for r in positions.collect()) == [3, 5]
+    assert sorted(map(tuple, gt.collect())) == [("1", 0, 0, 1, 1), ("1", 0, 1, 0, 0), ("1", 1, 0, 0, 1), ("1", 1, 1, 2, 1)]

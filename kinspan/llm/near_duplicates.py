@@ -1,7 +1,8 @@
 """Near-duplicates by improved consistent weighted sampling.
 
-A text's shingles of SHINGLE words weigh their frequency times their inverse document frequency. Document frequencies
-are counted over all documents in BUCKETS hashed counters, so that the table has one size whatever the input. For each
+A text's shingles of SHINGLE words weigh their frequency times their inverse document frequency, which goes from 1 (in
+every document) to 2 (in one), so that what many copies share still counts beside an edit's rare shingles. Document
+frequencies are counted over all documents in BUCKETS hashed counters, so that the table has one size whatever the input. For each
 of SAMPLES hash functions consistent weighted sampling picks a shingle and a level such that two texts pick the same
 with the probability of their weighted Jaccard similarity. ROWS samples make a band; texts that share a band meet in a
 bucket, sorted, where one pass compares their samples with those of the texts before that stand for a cluster. Pairs
@@ -92,8 +93,13 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)  # the upper 20 bits
 
 
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    """1 + ln((n + 1) / (df + 1)) / ln(n + 1): from 1, in all of n documents, to almost 2."""
+    return (1 + np.log((n + 1) / (df + 1.0)) / np.log(max(n, 1) + 1)).astype(np.float32)
+
+
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Of each hashed counter ln((n + 1) / (df + 1)), at least 0.05; n documents in all.
+    """`inverse_frequency` of each hashed counter.
 
     Every task sends its counters in blocks, which are summed by block; BUCKETS numbers reach the driver.
     """
@@ -128,7 +134,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             n = int(part[0])
         else:
             df[block * BLOCK : (block + 1) * BLOCK] = part
-    return np.maximum(np.log((n + 1) / (df + 1.0)), 0.05).astype(np.float32)
+    return inverse_frequency(df, n)
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -299,7 +299,7 @@ def test_near_duplicates_against_brute_force(spark, prose, docs):
     count = np.zeros(near_duplicates.BUCKETS)
     for s, _ in vectors:
         count[np.unique(near_duplicates._bucket(s))] += 1
-    idf = np.maximum(np.log((len(rows) + 1) / (count + 1)), 0.05).astype(np.float32)
+    idf = near_duplicates.inverse_frequency(count, len(rows))
     weighed = [(s, n.astype(np.float32) * idf[near_duplicates._bucket(s)]) for s, n in vectors]
     parent = list(range(len(rows)))
 

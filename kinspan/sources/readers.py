@@ -107,3 +107,9 @@ def coverage_file(path: str) -> tuple[float, np.ndarray, np.ndarray]:
         window, n = struct.unpack("<fQ", f.read(12))
         starts = np.frombuffer(f.read(4 * n), "<f4")
         return window, starts, np.frombuffer(f.read(8 * n), "<u8")
+
+
+def table(spark: SparkSession, path: str, chroms: list[str] | None = None) -> DataFrame:
+    """A table that `writers.table` wrote. Only the folders of `chroms` and the columns used later are read."""
+    found = spark.read.parquet(path)
+    return found if chroms is None else found.where(F.col("chrom").isin(*chroms))

@@ -101,3 +101,16 @@ def test_bcf(spark, tmp_path):
     assert sorted(map(tuple, samples.collect())) == [(0, "a"), (1, "b")]
     assert sorted(r.bp for r in positions.collect()) == [3, 5]
     assert sorted(map(tuple, gt.collect())) == [("1", 0, 0, 1, 1), ("1", 0, 1, 0, 0), ("1", 1, 0, 0, 1), ("1", 1, 1, 2, 1)]
+
+
+def test_tables_and_equality(spark, tmp_path):
+    from kinspan.functions import compare
+
+    a = spark.createDataFrame([("1", 1), ("2", 2), ("2", 2)], "chrom string, pid int")
+    writers.table(a, str(tmp_path / "t"))
+    assert compare.same_rows(a, readers.table(spark, str(tmp_path / "t")))
+    assert readers.table(spark, str(tmp_path / "t"), ["2"]).count() == 2
+    assert sorted(map(tuple, compare.differences(a, a.distinct()).collect())) == [("2", 2, 1)]
+    assert [tuple(r) for r in compare.head(a, 1).collect()] == [("1", 1)] and compare.tail(a, 1).first().pid == 2
+    put = compare.upsert(a.distinct(), spark.createDataFrame([("2", 9), ("3", 1)], "chrom string, pid int"), "chrom")
+    assert sorted(map(tuple, put.collect())) == [("1", 1), ("2", 9), ("3", 1)]

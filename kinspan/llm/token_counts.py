@@ -172,7 +172,7 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     )
     # Each column itself takes part, so that this and the join read the same exchange.
     distinct = postings.groupBy("pre_token").agg(F.count("block").alias("_b"), F.count("postings").alias("_p"))
-    counts = distinct.select("pre_token", pieces("pre_token").alias("n"))
+    counts = distinct.where("_b > 0 and _p > 0").select("pre_token", pieces("pre_token").alias("n"))
     return (
         postings.join(counts, "pre_token")
         .select("pre_token", "block", "postings", "n")

@@ -238,32 +238,38 @@ class _Clusters:
             k = self.parent[k]
         return k
 
-    def add(self, row: tuple, brief: np.ndarray) -> list[tuple]:
-        """Compare with all texts before; link to each cluster that may hold a similar one, at its most similar text."""
+    def add(self, row: tuple, brief: np.ndarray, band: int) -> list[tuple]:
+        """Compare with all texts before; link to each cluster that may hold a similar one, at its most similar text.
+
+        A cluster with a surely similar text that shares an earlier band was linked in that band's bucket.
+        """
         n = len(self.rows)
-        pairs, surely = [], []
+        pairs, surely = [], set()
         if n:
-            close = np.count_nonzero(self.briefs[:n] == brief, axis=1) / SAMPLES
+            briefs = self.briefs[:n]
+            close = np.count_nonzero(briefs == brief, axis=1) / SAMPLES
             near = np.flatnonzero(close >= MAYBE)
-            linked = set()
-            for k in near[np.argsort(-close[near], kind="stable")].tolist():
-                if (root := self.root(k)) not in linked:
-                    linked.add(root)
-                    pairs.append((*row, *self.rows[k]))
-                    if close[k] >= SURELY:
-                        surely.append(root)
+            earlier = (briefs[near].view("<u4")[:, :band] == brief.view("<u4")[:band]).any(axis=1)
+            sure = close[near] >= SURELY
+            roots = [self.root(k) for k in near.tolist()]
+            surely.update(itertools.compress(roots, sure.tolist()))
+            linked = set(itertools.compress(roots, (sure & earlier).tolist()))
+            for k in np.argsort(-close[near], kind="stable").tolist():
+                if not earlier[k] and roots[k] not in linked:
+                    linked.add(roots[k])
+                    pairs.append((*row, *self.rows[near[k]]))
         if n == len(self.briefs):
             self.briefs = np.concatenate([self.briefs, np.empty_like(self.briefs)])
         self.briefs[n] = brief
         self.rows.append(row)
         self.parent.append(n)
         for root in surely:
-            self.parent[self.root(root)] = n
+            self.parent[root] = n
         return pairs
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, row, doc, tie, brief) sorted by band to pairs of rows."""
+    """Rows (band, nr, row, doc, tie, brief) sorted by band to pairs of rows; nr: which of a text's bands it is."""
     names = ["x", "x_doc", "x_tie", "y", "y_doc", "y_tie"]
     found: list[tuple] = []
     band, held, clusters = None, None, None
@@ -275,16 +281,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         bands = batch.column(0).to_numpy()
-        rows = list(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))))
-        briefs = batch.column(4).to_pylist()
-        for key, row, brief in zip(bands.tolist(), rows, briefs):
+        rows = list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))))
+        briefs = batch.column(5).to_pylist()
+        for key, nr, row, brief in zip(bands.tolist(), batch.column(1).to_pylist(), rows, briefs):
             if key != band:
                 band, held, clusters = key, (row, brief), None  # most bands hold one text
                 continue
             if clusters is None:
                 clusters = _Clusters()
-                clusters.add(held[0], np.frombuffer(held[1], np.uint8))
-            found += clusters.add(row, np.frombuffer(brief, np.uint8))
+                clusters.add(held[0], np.frombuffer(held[1], np.uint8), nr)
+            found += clusters.add(row, np.frombuffer(brief, np.uint8), nr)
         if len(found) > 10_000:
             yield flush()
     yield flush()
@@ -362,7 +368,8 @@ def classify(docs: DataFrame) -> DataFrame:
     copies = signed.groupBy("copy_a", "copy_b").agg(F.min("row").alias("row"))
     singles = signed.where("bands is not null").join(copies.select("row"), "row", "left_semi")
     buckets = (
-        singles.select(F.explode("bands").alias("band"), "row", "doc", "tie", "brief")
+        singles.select(F.posexplode("bands").alias("nr", "band"), "row", "doc", "tie", "brief")
+        .select("band", "nr", "row", "doc", "tie", "brief")
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band")
         .sortWithinPartitions("band", "row")
     )

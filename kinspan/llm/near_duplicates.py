@@ -5,8 +5,11 @@ every document) to 2 (in one), so that what many copies share still counts besid
 frequencies are counted over all documents in BUCKETS hashed counters, so that the table has one size whatever the input. For each
 of SAMPLES hash functions consistent weighted sampling picks a shingle and a level such that two texts pick the same
 with the probability of their weighted Jaccard similarity. ROWS samples make a band; texts that share a band meet in a
-bucket, sorted, where one pass compares their samples with those of the texts before that stand for a cluster. Pairs
-that may be similar are verified on the texts themselves, and verified pairs make connected components.
+bucket. Pairs that may be similar are verified on the texts themselves, and verified pairs make connected components.
+
+That goes in rounds. Each text of a bucket is paired with the texts before it that are most like it by their samples, and
+those pairs are verified. A bucket is read again as long as it has further pairs, until each pair that may be similar was
+verified or lies within one component of verified pairs; so no pair is left out for one that was not verified.
 
 Texts with the same words are one before any of that. Samples, pairs and components stay in the cluster.
 """
@@ -30,9 +33,11 @@ BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 #: Counters of document frequencies, and how many of them go together.
 BUCKETS, BLOCK = 1 << 20, 1 << 12
-#: Estimated similarity from which a pair is verified (LEAST less 3.4 deviations of the estimate), and from which the
-#: later text needs no further link to the other's cluster.
-MAYBE, SURELY = 0.62, 0.80
+#: Estimated similarity from which a pair is verified: LEAST less 3.4 deviations of the estimate.
+MAYBE = 0.62
+#: Pairs that a text gives in each of its buckets grow by this factor from round to round.
+GROWTH = 8
+CANDIDATES = ["band", "row", "doc", "tie", "brief", "y", "y_doc", "y_tie"]
 TIE_BITS = 28
 NULL = -(1 << 63)
 
@@ -224,76 +229,65 @@ def _signatures(keyed: DataFrame, idf: Broadcast) -> DataFrame:
     )
 
 
-class _Clusters:
-    """One bucket, text by text. Gives pairs worth verifying."""
+def bucket_pairs(texts: list[tuple], most: int) -> tuple[list[tuple], bool]:
+    """Pairs worth verifying among one bucket's texts (row, doc, tie, brief, root, failed), and whether any are left.
 
-    def __init__(self):
-        self.briefs = np.empty((8, SAMPLES), np.uint8)
-        self.rows: list[tuple] = []
-        self.parent: list[int] = []
-
-    def root(self, k: int) -> int:
-        while self.parent[k] != k:
-            self.parent[k] = self.parent[self.parent[k]]
-            k = self.parent[k]
-        return k
-
-    def add(self, row: tuple, brief: np.ndarray, band: int) -> list[tuple]:
-        """Compare with all texts before; link to each cluster that may hold a similar one, at its most similar text.
-
-        A cluster with a surely similar text that shares an earlier band was linked in that band's bucket.
-        """
-        n = len(self.rows)
-        pairs, surely = [], set()
-        if n:
-            briefs = self.briefs[:n]
-            close = np.count_nonzero(briefs == brief, axis=1) / SAMPLES
-            near = np.flatnonzero(close >= MAYBE)
-            earlier = (briefs[near].view("<u4")[:, :band] == brief.view("<u4")[:band]).any(axis=1)
-            sure = close[near] >= SURELY
-            roots = [self.root(k) for k in near.tolist()]
-            surely.update(itertools.compress(roots, sure.tolist()))
-            linked = set(itertools.compress(roots, (sure & earlier).tolist()))
-            for k in np.argsort(-close[near], kind="stable").tolist():
-                if not earlier[k] and roots[k] not in linked:
-                    linked.add(roots[k])
-                    pairs.append((*row, *self.rows[near[k]]))
-        if n == len(self.briefs):
-            self.briefs = np.concatenate([self.briefs, np.empty_like(self.briefs)])
-        self.briefs[n] = brief
-        self.rows.append(row)
-        self.parent.append(n)
-        for root in surely:
-            self.parent[root] = n
-        return pairs
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, nr, row, doc, tie, brief) sorted by band to pairs of rows; nr: which of a text's bands it is."""
-    names = ["x", "x_doc", "x_tie", "y", "y_doc", "y_tie"]
-    found: list[tuple] = []
-    band, held, clusters = None, None, None
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*found)) or [[]] * 6
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    for batch in batches:
-        bands = batch.column(0).to_numpy()
-        rows = list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))))
-        briefs = batch.column(5).to_pylist()
-        for key, nr, row, brief in zip(bands.tolist(), batch.column(1).to_pylist(), rows, briefs):
-            if key != band:
-                band, held, clusters = key, (row, brief), None  # most bands hold one text
-                continue
-            if clusters is None:
-                clusters = _Clusters()
-                clusters.add(held[0], np.frombuffer(held[1], np.uint8), nr)
-            found += clusters.add(row, np.frombuffer(brief, np.uint8), nr)
-        if len(found) > 10_000:
-            yield flush()
-    yield flush()
+    A text is paired with at most `most` texts before it, the most similar first: not with those of its own root, nor
+    with those of the rows in `failed`, with which it was verified in vain.
+    """
+    roots = np.array([t[4] for t in texts], np.int64)
+    if (roots == roots[0]).all():
+        return [], False
+    rows = np.array([t[0] for t in texts], np.int64)
+    briefs = np.frombuffer(b"".join(t[3] for t in texts), np.uint8).reshape(-1, SAMPLES)
+    pairs, more = [], False
+    for k in range(1, len(texts)):
+        other = np.flatnonzero(roots[:k] != roots[k])
+        same = np.count_nonzero((briefs[:k] if len(other) == k else briefs[other]) == briefs[k], axis=1)
+        near = same >= MAYBE * SAMPLES
+        if texts[k][5]:
+            near &= ~np.isin(rows[other], texts[k][5])
+        other, same = other[near], same[near]
+        pairs += ((*texts[k][:3], *texts[j][:3]) for j in other[np.argsort(-same, kind="stable")[:most]].tolist())
+        more |= len(other) > most
+    return pairs, more
+
+
+def _candidates(most: int):
+    """Rows (band, row, doc, tie, brief, root, failed) sorted by band to CANDIDATES: pairs of a bucket, and all rows of
+    buckets in which pairs are left, whose y is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        band, held = None, []
+        kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3
+
+        def close() -> None:
+            if len(held) > 1:  # most bands hold one text
+                pairs, more = bucket_pairs(held, most)
+                found.extend((None, *pair[:3], None, *pair[3:]) for pair in pairs)
+                if more:
+                    found.extend((band, *text[:4], None, None, None) for text in held)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(found), 10_000):
+                columns = zip(*found[start : start + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=CANDIDATES)
+            found.clear()
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for key, *text in zip(*columns):
+                if key != band:
+                    close()
+                    band, held = key, []
+                held.append(tuple(text))
+            if len(found) > 10_000:
+                yield from flush()
+        close()
+        yield from flush()
+
+    return run
 
 
 def _verify(idf: Broadcast):
@@ -319,6 +313,13 @@ def _verify(idf: Broadcast):
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """x and y of the pairs (x, x_doc, x_tie, y, y_doc, y_tie) whose texts are similar."""
+    left = pairs.join(texts.select(F.col("doc").alias("x_doc"), F.col("tie").alias("x_tie"), F.col("text").alias("left")), ["x_doc", "x_tie"])
+    both = left.join(texts.select(F.col("doc").alias("y_doc"), F.col("tie").alias("y_tie"), F.col("text").alias("right")), ["y_doc", "y_tie"])
+    return both.select("x", "y", "left", "right").mapInArrow(_verify(idf), "x long, y long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of each node in `links` (x, y), by alternating stars.
 
@@ -367,20 +368,32 @@ def classify(docs: DataFrame) -> DataFrame:
     signed = _signatures(keyed, idf).checkpoint()
     copies = signed.groupBy("copy_a", "copy_b").agg(F.min("row").alias("row"))
     singles = signed.where("bands is not null").join(copies.select("row"), "row", "left_semi")
-    buckets = (
-        singles.select(F.posexplode("bands").alias("nr", "band"), "row", "doc", "tie", "brief")
-        .select("band", "nr", "row", "doc", "tie", "brief")
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band")
-        .sortWithinPartitions("band", "row")
-    )
-    pairs = buckets.mapInArrow(
-        _pairs, "x long, x_doc long, x_tie long, y long, y_doc long, y_tie long"
-    ).dropDuplicates(["x", "y"])
-    texts = keyed
-    left = pairs.join(texts.select(F.col("doc").alias("x_doc"), F.col("tie").alias("x_tie"), F.col("text").alias("left")), ["x_doc", "x_tie"])
-    both = left.join(texts.select(F.col("doc").alias("y_doc"), F.col("tie").alias("y_tie"), F.col("text").alias("right")), ["y_doc", "y_tie"])
-    links = both.select("x", "y", "left", "right").mapInArrow(_verify(idf), "x long, y long").distinct()
-    roots = components(links)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "band long, row long, doc long, tie long, brief binary, y long, y_doc long, y_tie long"
+    buckets = singles.select(F.explode("bands").alias("band"), "row", "doc", "tie", "brief").repartition(n, "band").sortWithinPartitions("band", "row")
+    first = buckets.select("*", F.col("row").alias("root"), F.lit(None).cast("array<long>").alias("failed"))
+    found = first.mapInArrow(_candidates(1), kinds).checkpoint()
+    involved = found.select("doc", "tie").union(found.where("y is not null").select("y_doc", "y_tie")).distinct()
+    texts = keyed.join(involved, ["doc", "tie"], "left_semi").checkpoint()
+    roots = failed = spark.createDataFrame([], "x long, y long")
+    most = 1
+    while not found.isEmpty():
+        pairs = found.where("y is not null").select(
+            F.col("row").alias("x"), F.col("doc").alias("x_doc"), F.col("tie").alias("x_tie"), "y", "y_doc", "y_tie"
+        ).dropDuplicates(["x", "y"])
+        links = _verified(pairs, texts, idf).checkpoint()
+        failed = failed.union(pairs.select("x", "y").join(links, ["x", "y"], "left_anti")).checkpoint()
+        roots = components(roots.union(links)).toDF("x", "y")
+        most *= GROWTH
+        rest = (
+            found.where("y is null")
+            .select("band", "row", "doc", "tie", "brief")
+            .join(roots.toDF("row", "root"), "row", "left")
+            .join(failed.groupBy(F.col("x").alias("row")).agg(F.collect_list("y").alias("failed")), "row", "left")
+            .select("band", "row", "doc", "tie", "brief", F.coalesce("root", "row").alias("root"), "failed")
+        )
+        found = rest.repartition(n, "band").sortWithinPartitions("band", "row").mapInArrow(_candidates(most), kinds).checkpoint()
+    roots = roots.toDF("node", "root")
     member = (
         signed.select("row", "doc", "tie", "copy_a", "copy_b")
         .join(copies.withColumnRenamed("row", "node"), ["copy_a", "copy_b"])

@@ -323,6 +323,64 @@ def test_near_duplicates_against_brute_force(spark, prose, docs):
     assert kept.schema == docs.schema and kept.count() == len(ODD) - 1
 
 
+def test_near_duplicate_pairs_of_a_bucket_are_tried_until_one_passes():
+    def text(row, brief, root=None, failed=None):
+        return row, row, 0, bytes(brief), row if root is None else root, failed
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    base = rng.integers(0, 256, near_duplicates.SAMPLES).astype(np.uint8)
+
+    def changed(n):  # the last n samples differ
+        return np.concatenate([base[: len(base) - n], base[len(base) - n :] ^ np.uint8(1)])
+
+    a, b, x = base, changed(5), changed(9)  # x is most like b, and still like a
+    pairs, more = near_duplicates.bucket_pairs([text(1, a), text(2, b), text(3, x)], 1)
+    assert [(p[0], p[3]) for p in pairs] == [(2, 1), (3, 2)] and more
+    # (3, 2) failed, whatever else b is linked to: a is next
+    pairs, more = near_duplicates.bucket_pairs([text(1, a, 1), text(2, b, 1), text(3, x, 3, [2])], 1)
+    assert [(p[0], p[3]) for p in pairs] == [(3, 1)] and not more
+    pairs, more = near_duplicates.bucket_pairs([text(1, a, 1), text(2, b, 1), text(3, x, 3, [2, 1])], 1)
+    assert pairs == [] and not more
+    assert near_duplicates.bucket_pairs([text(1, a, 1), text(2, b, 1), text(3, x, 1)], 1) == ([], False)
+
+
+def test_near_duplicates_of_many_versions_of_a_text(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for group in range(12):
+        base = rng.choices(words, k=150)
+        for _ in range(20):  # pairs lie about the limit on either side
+            text = list(base)
+            for k in rng.sample(range(150), rng.randrange(1, 6)):
+                text[k] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    shingler = near_duplicates.Shingler()
+    vectors = [shingler.shingles(shingler.hashes(near_duplicates.words_of(t.encode()))) for _, t in rows]
+    count = np.zeros(near_duplicates.BUCKETS)
+    for s, _ in vectors:
+        count[np.unique(near_duplicates._bucket(s))] += 1
+    idf = near_duplicates.inverse_frequency(count, len(rows))
+    weighed = [(s, n.astype(np.float32) * idf[near_duplicates._bucket(s)]) for s, n in vectors]
+    sampled = [near_duplicates.samples(*v) for v in weighed]
+    bands = [near_duplicates.bands_of(s) for s in sampled]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):  # all pairs that share a band and pass the estimate
+            close = ((sampled[a] & np.uint64(255)) == (sampled[b] & np.uint64(255))).mean()
+            if (bands[a] == bands[b]).any() and close >= near_duplicates.MAYBE and near_duplicates.similarity(weighed[a], weighed[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    found = near_duplicates.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {k: root(k) for k in range(len(rows))}
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     errors = []

@@ -187,7 +187,7 @@ def merge_by_genotypes(spark, sf_dir):
 
 
 def discordance(spark, sf_dir):
-    gaps = D.segments(spark, sf_dir).where("pid1 % 5 = 0").select("chrom", "sid1", "sid2", F.col("pid1").alias("gap_start"), F.col("pid2").alias("gap_end")).distinct()
+    gaps = D.segments(spark, sf_dir).select("chrom", "sid1", "sid2", F.col("pid1").alias("gap_start"), F.col("pid2").alias("gap_end")).distinct()
     return genotypes.discordance(gaps, genotypes.blocks(D.genotypes(spark)))
 
 

@@ -153,12 +153,12 @@ def map_to_cm(spark, sf_dir):
 
 
 def map_to_bp(spark, sf_dir):
-    asked = D.sites(spark).where("pid < 300").select("chrom", (F.col("pid") * 0.4).alias("cm"), "pid")
+    asked = D.sites(spark).select("chrom", (F.col("pid") * 0.4).alias("cm"), "pid")
     return genetic_map.to_bp(asked, D.map_points(spark)).select("chrom", "pid", "bp")
 
 
 def boundary_pids(spark, sf_dir):
-    asked = D.sites(spark).where("pid % 50 = 0").select("chrom", (F.col("bp") - 500).alias("left_bp"), (F.col("bp") + 1000 * F.col("pid")).alias("right_bp"))
+    asked = D.sites(spark).select("chrom", (F.col("bp") - 500).alias("left_bp"), (F.col("bp") + 1000 * F.col("pid")).alias("right_bp"))
     return genetic_map.boundary_pids(asked, D.sparse_sites(spark)).select("chrom", F.col("left_bp").cast("bigint").alias("left_bp"), F.col("right_bp").cast("bigint").alias("right_bp"), "pid_left", "pid_right")
 
 

@@ -30,3 +30,36 @@ def test_discordance_takes_all_gaps(spark, folder):
         expected.add((r.chrom, r.sid1, r.sid2, r.pid1, r.pid2, bad))
     found = [tuple(r) for r in queries.discordance(spark, folder).collect()]
     assert sorted(found) == sorted(expected) and any(r[3] % 5 for r in found)
+
+
+def test_boundary_pids_asks_for_every_site(spark, folder):
+    days = [d for d in range(D.SITES) if d % 400 < 200 or d % 13 == 0]
+    bp = [d * 1000 + 1 for d in days]
+    expected = []
+    for d in range(D.SITES):
+        left, right = d * 1000 + 1 - 500, d * 1000 + 1 + 1000 * d
+        expected += [(c, left, right, max(bisect.bisect_right(bp, left) - 1, 0), bisect.bisect_right(bp, right)) for c in D.CHROMS]
+    assert sorted(map(tuple, queries.boundary_pids(spark, folder).collect())) == sorted(expected)
+
+
+def test_map_to_bp_asks_for_every_site_also_beyond_the_map(spark, folder):
+    k = [10 if 10 <= i <= 12 else i for i in range(1, 61)]
+    points = [(0, 0.0)] + [(i * 40000 + 1, (20 * n + n * n % 17) / 10.0) for i, n in zip(range(1, 61), k)]
+    slopes = [(b[1] - a[1]) / (b[0] - a[0]) for a, b in zip(points, points[1:])]
+    slopes.append(slopes[-1])
+    found = {(r.chrom, r.pid): r.bp for r in queries.map_to_bp(spark, folder).collect()}
+    assert len(found) == D.SITES * len(D.CHROMS)
+    for (_, pid), place in found.items():
+        cm = pid * 0.4
+        at = max(i for i, p in enumerate(points) if p[1] <= cm)
+        exact = points[at][0] + ((cm - points[at][1]) / slopes[at] if slopes[at] else 0)
+        assert abs(place - exact) <= 0.5 + 1e-6
+
+
+@pytest.mark.parametrize("query, asked", [("discordance", "gap_start % 5 = 0"), ("map_to_bp", "pid < 300"), ("boundary_pids", "(left_bp + 499) % 50000 = 0")])
+def test_sql_gives_the_rows_it_asks_for(spark, folder, query, asked):
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"create view lineitem as select * from read_parquet('{folder}/lineitem.parquet/*.parquet')")
+    rows = duckdb.execute(f"select * from ({queries.ORACLE_SQL[query]})").fetchall()
+    found = queries.QUERIES[query](spark, folder).where(asked).collect()
+    assert sorted(rows) == sorted(map(tuple, found))

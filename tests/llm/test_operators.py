@@ -381,6 +381,12 @@ def test_near_duplicates_of_many_versions_of_a_text(spark):
     assert {r.doc_id: r.class_id for r in found} == {k: root(k) for k in range(len(rows))}
 
 
+def test_near_duplicates_that_seem_to_share_an_earlier_band_are_paired():
+    brief = bytes(range(near_duplicates.SAMPLES))  # low bytes agree in every band, though an earlier band's keys may differ
+    pairs, more = near_duplicates.bucket_pairs([(1, 1, 0, brief, 1, None), (2, 2, 0, brief, 2, None)], 1)
+    assert pairs == [(2, 2, 0, 1, 1, 0)] and not more
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     errors = []

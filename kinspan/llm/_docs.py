@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -89,31 +90,89 @@ def partition_id() -> int:
 
 
 class Cache(dict):
-    """make(key) for each key, kept for at least the last `size` keys and at most twice as many."""
+    """make(key) for each key of bytes; the last ones are kept, as far as they fit.
 
-    def __init__(self, make: Callable, size: int = 300_000):
+    Keys over LONGEST bytes are made anew each time. At about `most` bytes of keys and values what is kept becomes the
+    old generation, and the one before goes, so that twice as much is held at most.
+    """
+
+    LONGEST, ENTRY = 256, 150
+
+    def __init__(self, make: Callable, most: int = 48 << 20):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.most, self.held, self.old = make, most, 0, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += self.ENTRY + len(key) + getsizeof(value)
         self[key] = value
         return value
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_key(text="text"):
+    """128 bits that stand for a text; with doc_id they tell rows apart, but for wholly equal ones."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
+def least_hashes(hashes: DataFrame, n: int, total: int) -> int | None:
+    """A bound that about the n least distinct values of the long column `h` don't exceed; null with no row.
+
+    total: rows of `hashes`. At most n values reach the driver. Whole equal rows count once.
+    """
+    def bound(df: DataFrame):
+        return df.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+
+    low, span = -(1 << 63), 1 << 64
+    most = low + span * 4 * n // max(total, 1) if total > 4 * n else None
+    found = bound(hashes.where(F.col("h") < most)) if most is not None else None
+    return bound(hashes) if found is None else found
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one of this machine if none is set and all runs here."""
+    """The session's checkpoint folder; where none is set, one in the warehouse, which executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp()}"
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+class Scratch:
+    """Intermediate tables below the shared folder, as Parquet: cut off from their lineage, with their true sizes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def __call__(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = f"{self.folder}/{name}-{len(self.paths)}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete all tables so named."""
+        for path in [p for p in self.paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system Spark finds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

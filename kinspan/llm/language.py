@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from kinspan.llm import _docs
 
 DIM, GRAM = 512, 3
-#: n-gram vectors kept by a worker.
-KEPT = 1 << 15
+#: n-gram and letter vectors kept by a worker.
+KEPT, LETTERS = 1 << 15, 4096
+#: Languages whose prototypes may come to the driver: 4 kB each.
+MOST_LANGUAGES = 4096
 #: Letters' bits in an n-gram's key; GRAM of them fit in 63.
 BITS = 21
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -71,18 +73,22 @@ class Vectors:
 
     def __init__(self, dim: int):
         self.dim = dim
-        self.letters = _docs.Cache(self._letter, 4096)
+        self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
         self.table = np.empty((KEPT, dim), np.float32)
 
     def _letter(self, code: int) -> np.ndarray:
-        bits = np.random.Generator(np.random.PCG64(code)).integers(0, 2, self.dim, dtype=np.int8)
-        return 2 * bits - 1
+        if code not in self.letters:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
+            bits = np.random.Generator(np.random.PCG64(code)).integers(0, 2, self.dim, dtype=np.int8)
+            self.letters[code] = 2 * bits - 1
+        return self.letters[code]
 
     def _gram(self, key: int) -> np.ndarray:
         out = np.ones(self.dim, np.int8)
         for place in range(GRAM):
-            out *= np.roll(self.letters[key >> BITS * (GRAM - 1 - place) & (1 << BITS) - 1], place)
+            out *= np.roll(self._letter(key >> BITS * (GRAM - 1 - place) & (1 << BITS) - 1), place)
         return out
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -126,7 +132,7 @@ def fit(docs: DataFrame, dim: int = DIM) -> Profiles:
     """Learn a prototype of each lang of `docs` (text, lang); rows without lang, or without a letter, teach nothing.
 
     Each task sends one vector for each language it met; they are summed by language and place. The driver gets
-    dim numbers for each language.
+    dim numbers for each language; over MOST_LANGUAGES of them are an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +169,11 @@ def fit(docs: DataFrame, dim: int = DIM) -> Profiles:
         .mapInArrow(run, "lang string, place int, value long")
         .groupBy("lang", "place")
         .agg(F.sum("value").alias("value"))
+        .limit((MOST_LANGUAGES + 1) * dim)
         .collect()
     )
+    if len(rows) > MOST_LANGUAGES * dim:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: the column lang holds something else")
     sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(dim))
     for lang, place, value in rows:
         sums[lang][place] = value

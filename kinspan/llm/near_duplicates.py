@@ -1,29 +1,32 @@
 """Near-duplicates by improved consistent weighted sampling.
 
 A text's shingles of SHINGLE words weigh their frequency times their inverse document frequency, which goes from 1 (in
-every document) to 2 (in one), so that what many copies share still counts beside an edit's rare shingles. Document
-frequencies are counted over all documents in BUCKETS hashed counters, so that the table has one size whatever the input. For each
-of SAMPLES hash functions consistent weighted sampling picks a shingle and a level such that two texts pick the same
-with the probability of their weighted Jaccard similarity. ROWS samples make a band; texts that share a band meet in a
-bucket. Pairs that may be similar are verified on the texts themselves, and verified pairs make connected components.
-
-That goes in rounds. Each text of a bucket is paired with the texts before it that are most like it by their samples, and
-those pairs are verified. A bucket is read again as long as it has further pairs, until each pair that may be similar was
-verified or lies within one component of verified pairs; so no pair is left out for one that was not verified.
+every document) to 2 (in few), so that what many copies share still counts beside an edit's rare shingles. Document
+frequencies are counted over all documents in BUCKETS hashed counters, so that the table has one size whatever the
+input. A counter up to a FREQUENTth of all that was counted stands for rare shingles, which weigh alike: what chance
+lays together in a counter stays far below that, at any number of documents, so a pair's similarity doesn't depend on
+that number. For each of SAMPLES hash functions consistent weighted sampling picks a shingle and a level such that two
+texts pick the same with the probability of their weighted Jaccard similarity. ROWS samples make a band; texts that
+share a band meet in a bucket. Pairs that may be similar are verified on the texts themselves, and verified pairs make
+connected components.
+
+That goes in rounds, a few bands each. In a bucket one text of each component so far stands for it; these are paired
+with few of them, verified, and joined, so that a group of many copies takes as many pairs as it has texts. Last, all
+buckets that still hold several components are looked at whole, in blocks: every pair across components that may be
+similar is verified, the most similar first, until none is left. So no pair is left out for one that was not verified.
 
 Texts with the same words are one before any of that. Samples, pairs and components stay in the cluster.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspan.llm import _docs
@@ -32,13 +35,18 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 #: Counters of document frequencies, and how many of them go together.
-BUCKETS, BLOCK = 1 << 20, 1 << 12
+BUCKETS, COUNTERS = 1 << 20, 1 << 12
+#: A shingle counts as frequent beyond this part of all counted, and beyond so many documents.
+FREQUENT, FEW = 1 << 16, 8
 #: Estimated similarity from which a pair is verified: LEAST less 3.4 deviations of the estimate.
 MAYBE = 0.62
-#: Pairs that a text gives in each of its buckets grow by this factor from round to round.
+#: Bands by round; texts that others of their bucket are paired with; texts in a block of a bucket.
+ROUNDS, PIVOTS, BLOCK = (range(1), range(1, 3), range(3, 7), range(7, BANDS)), 4, 2048
+#: Pairs that a text gives in each of its buckets grow by this factor from one last round to the next.
 GROWTH = 8
-CANDIDATES = ["band", "row", "doc", "tie", "brief", "y", "y_doc", "y_tie"]
-TIE_BITS = 28
+#: Parts of a node with very many links; signatures kept by a worker, of about 1 kB each.
+SALTS, KEPT = 8, 20_000
+#: Stands for a null doc_id, before all others.
 NULL = -(1 << 63)
 
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -99,8 +107,11 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
-    """1 + ln((n + 1) / (df + 1)) / ln(n + 1): from 1, in all of n documents, to almost 2."""
-    return (1 + np.log((n + 1) / (df + 1.0)) / np.log(max(n, 1) + 1)).astype(np.float32)
+    """1 + ln(n / df) / ln(n / few): from 1, in all of n documents, to 2, in `few` or fewer."""
+    few = max(FEW, df.sum() / FREQUENT)
+    if few >= n:
+        return np.full(len(df), 2, np.float32)
+    return (1 + np.log(n / np.clip(df, few, n)) / np.log(n / few)).astype(np.float32)
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -117,8 +128,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             for text in _docs.utf8(batch.column(0)):
                 found.append(np.unique(_bucket(shingler.shingles(shingler.hashes(words_of(text)))[0])))
             total += np.bincount(np.concatenate(found), minlength=BUCKETS).astype(np.uint32)
-        blocks = np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1))
-        parts = [total[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks]
+        blocks = np.flatnonzero(total.reshape(-1, COUNTERS).any(axis=1))
+        parts = [total[b * COUNTERS : (b + 1) * COUNTERS].tobytes() for b in blocks]
         yield pa.RecordBatch.from_arrays(
             [pa.array([*blocks.tolist(), -1], pa.int32()), pa.array([*parts, int(n).to_bytes(8, "little")], pa.binary())],
             names=["block", "counts"],
@@ -138,7 +149,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         if block < 0:
             n = int(part[0])
         else:
-            df[block * BLOCK : (block + 1) * BLOCK] = part
+            df[block * COUNTERS : (block + 1) * COUNTERS] = part
     return inverse_frequency(df, n)
 
 
@@ -180,7 +191,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signatures(keyed: DataFrame, idf: Broadcast) -> DataFrame:
-    """A row for each document: row, doc, tie, copy_a and copy_b (a 128-bit hash of its words), bands, brief.
+    """A row for each document: row, doc, key, copy_a and copy_b (a 128-bit hash of its words), bands, brief.
 
     Documents without words have no bands.
     """
@@ -204,7 +215,7 @@ def _signatures(keyed: DataFrame, idf: Broadcast) -> DataFrame:
                 else:
                     digest = xxhash.xxh3_128_digest(b" ".join(words))
                     if digest not in texts:
-                        if len(texts) > 20_000:
+                        if len(texts) >= KEPT:
                             texts.clear()
                         texts[digest] = work(words)
                     a, b = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -221,75 +232,177 @@ def _signatures(keyed: DataFrame, idf: Broadcast) -> DataFrame:
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(brief, pa.binary()),
                 ],
-                names=["row", "doc", "tie", "copy_a", "copy_b", "bands", "brief"],
+                names=["row", "doc", "key", "copy_a", "copy_b", "bands", "brief"],
             )
 
     return keyed.mapInArrow(
-        run, "row long, doc long, tie long, copy_a long, copy_b long, bands array<long>, brief binary"
+        run, "row long, doc long, key binary, copy_a long, copy_b long, bands array<long>, brief binary"
     )
 
 
-def bucket_pairs(texts: list[tuple], most: int) -> tuple[list[tuple], bool]:
-    """Pairs worth verifying among one bucket's texts (row, doc, tie, brief, root, failed), and whether any are left.
+# --- Candidates ------------------------------------------------------------------------------------------------------
+
+
+def _alike(briefs: np.ndarray, brief: np.ndarray) -> np.ndarray:
+    return np.count_nonzero(briefs == brief, axis=1)
 
-    A text is paired with at most `most` texts before it, the most similar first: not with those of its own root, nor
-    with those of the rows in `failed`, with which it was verified in vain.
+
+def star_pairs(rows: np.ndarray, briefs: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, row) that may join the components met in one bucket, one text standing for each: linear in number.
+
+    The text that has most of the commonest samples is paired with all that may be similar to it; of the others again,
+    PIVOTS times at most. What that leaves apart `cross_pairs` looks at.
     """
-    roots = np.array([t[4] for t in texts], np.int64)
-    if (roots == roots[0]).all():
-        return [], False
-    rows = np.array([t[0] for t in texts], np.int64)
-    briefs = np.frombuffer(b"".join(t[3] for t in texts), np.uint8).reshape(-1, SAMPLES)
-    pairs, more = [], False
-    for k in range(1, len(texts)):
-        other = np.flatnonzero(roots[:k] != roots[k])
-        same = np.count_nonzero((briefs[:k] if len(other) == k else briefs[other]) == briefs[k], axis=1)
-        near = same >= MAYBE * SAMPLES
-        if texts[k][5]:
-            near &= ~np.isin(rows[other], texts[k][5])
-        other, same = other[near], same[near]
-        pairs += ((*texts[k][:3], *texts[j][:3]) for j in other[np.argsort(-same, kind="stable")[:most]].tolist())
-        more |= len(other) > most
-    return pairs, more
-
-
-def _candidates(most: int):
-    """Rows (band, row, doc, tie, brief, root, failed) sorted by band to CANDIDATES: pairs of a bucket, and all rows of
-    buckets in which pairs are left, whose y is null."""
+    _, rest = np.unique(roots, return_index=True)
+    found = []
+    for _ in range(PIVOTS):
+        if len(rest) < 2:
+            break
+        own = briefs[rest]
+        if len(rest) == 2:
+            pivot = 0
+        else:
+            common = np.array([np.bincount(column, minlength=256).argmax() for column in own.T], np.uint8)
+            pivot = int(_alike(own, common).argmax())
+        near = _alike(own, own[pivot]) >= MAYBE * SAMPLES
+        near[pivot] = False
+        found += [(int(rows[k]), int(rows[rest[pivot]])) for k in rest[near]]
+        near[pivot] = True
+        rest = rest[~near]
+    return found
+
+
+def cross_pairs(left: tuple, right: tuple | None, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs worth verifying between two blocks of a bucket, or within one, and whether any are left.
+
+    A block: rows, briefs, roots, failed. A text of the left one is paired with at most `most` of the other (or of
+    those before it), the most similar first: not with those of its own root, nor with those rows in its `failed`.
+    """
+    rows, briefs, roots, failed = left
+    within = right is None
+    other_rows, other_briefs, other_roots, _ = left if within else right
+    found, more = [], False
+    for k in range(len(rows)):
+        stop = k if within else len(other_rows)
+        near = np.flatnonzero(other_roots[:stop] != roots[k])
+        if not len(near):
+            continue
+        same = _alike(other_briefs[near], briefs[k])
+        fit = same >= MAYBE * SAMPLES
+        if failed[k] and fit.any():
+            fit &= ~np.isin(other_rows[near], failed[k])
+        near, same = near[fit], same[fit]
+        found += ((int(rows[k]), int(other_rows[j])) for j in near[np.argsort(-same, kind="stable")[:most]])
+        more |= len(near) > most
+    return found, more
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """Runs of rows with equal first columns: the key, and the other columns as lists. Sorted input; one run is held."""
+    key, held = None, None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for values in zip(*columns):
+            if values[:keys] != key:
+                if held is not None:
+                    yield key, list(zip(*held))
+                key, held = values[:keys], []
+            held.append(values[keys:])
+    if held is not None:
+        yield key, list(zip(*held))
+
+
+def _pairs(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+
+def _briefs(values: tuple[bytes, ...]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, SAMPLES)
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, block, row, brief, root), sorted by band and block, to pairs."""
+    found = []
+    for _, (rows, briefs, roots) in _groups(batches, 2):
+        if len(rows) > 1:
+            found += star_pairs(np.array(rows, np.int64), _briefs(briefs), np.array(roots, np.int64))
+        if len(found) > 10_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
+
+
+def _cross(most: int):
+    """(band, one, two, block, row, brief, root, failed), sorted by the first three, to pairs; one of nulls if some are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        band, held = None, []
-        kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3
-
-        def close() -> None:
-            if len(held) > 1:  # most bands hold one text
-                pairs, more = bucket_pairs(held, most)
-                found.extend((None, *pair[:3], None, *pair[3:]) for pair in pairs)
-                if more:
-                    found.extend((band, *text[:4], None, None, None) for text in held)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for start in range(0, len(found), 10_000):
-                columns = zip(*found[start : start + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=CANDIDATES)
-            found.clear()
+        left_over = False
+        for (_, one, two), (blocks, rows, briefs, roots, failed) in _groups(batches, 3):
+            block, rows, briefs, roots = np.array(blocks), np.array(rows, np.int64), _briefs(briefs), np.array(roots, np.int64)
 
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for key, *text in zip(*columns):
-                if key != band:
-                    close()
-                    band, held = key, []
-                held.append(tuple(text))
-            if len(found) > 10_000:
-                yield from flush()
-        close()
-        yield from flush()
+            def part(which):
+                k = np.flatnonzero(block == which)
+                return rows[k], briefs[k], roots[k], [failed[j] for j in k]
+
+            found, more = cross_pairs(part(one), None if one == two else part(two), most)
+            left_over |= more
+            for start in range(0, len(found), 10_000):
+                yield _pairs(found[start : start + 10_000])
+        yield _pairs([(None, None)] * left_over)
 
     return run
 
 
+def _buckets(singles: DataFrame) -> DataFrame:
+    """nr, band, size, row, brief: texts of each band that two or more share.
+
+    Sizes are summed before they move, so that the bands of single texts are dropped by a join that can be split.
+    """
+    banded = singles.select(F.posexplode("bands").alias("nr", "band"), "row")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = banded.join(sizes, "band")
+    return shared.join(singles.select("row", "brief"), "row").select("nr", "band", "size", "row", "brief")
+
+
+def _with_roots(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    return buckets.join(roots.toDF("row", "_root"), "row", "left").withColumn("root", F.coalesce("_root", "row")).drop("_root")
+
+
+def _block(n, salt: int = 0):
+    """A number below n/BLOCK, rounded up, for each row."""
+    return F.pmod(F.xxhash64("row", F.lit(salt)), F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")).cast("int")
+
+
+def _star_round(buckets: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    dealt = _with_roots(buckets, roots).select("band", _block(F.col("size")).alias("block"), "row", "brief", "root")
+    sorted_ = dealt.repartition(parts, "band", "block").sortWithinPartitions("band", "block", "row")
+    return sorted_.mapInArrow(_star, "x long, y long")
+
+
+def _cross_round(buckets: DataFrame, roots: DataFrame, failed: DataFrame, most: int, parts: int) -> DataFrame:
+    """Candidates left in buckets of two components or more.
+
+    A bucket's largest component needs no pairs of its own, so its blocks meet those of the other texts only.
+    """
+    rooted = _with_roots(buckets, roots)
+    counts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = mixed.select(F.col("band"), F.col("main.root").alias("_main"), F.col("main.n").alias("_n"), (F.col("size") - F.col("main.n")).alias("_rest"))
+    rows = rooted.drop("size").join(mixed, "band").withColumn("_is", F.col("root") == F.col("_main"))
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    own = F.when(F.col("_is"), blocks("_rest") + _block(F.col("_n"))).otherwise(_block(F.col("_rest")))
+    met = F.when(F.col("_is"), F.sequence(F.lit(0), blocks("_rest") - 1)).otherwise(F.sequence(F.lit(0), blocks("_rest") + blocks("_n") - 1))
+    spread = rows.withColumn("block", own).withColumn("_met", F.explode(met))
+    both = failed.union(failed.select("y", "x")).toDF("row", "y")
+    spread = spread.join(both.groupBy("row").agg(F.collect_list("y").alias("failed")), "row", "left")
+    dealt = spread.select("band", F.least("block", "_met").alias("one"), F.greatest("block", "_met").alias("two"), "block", "row", "brief", "root", "failed")
+    sorted_ = dealt.repartition(parts, "band", "one", "two").sortWithinPartitions("band", "one", "two", "row")
+    return sorted_.mapInArrow(_cross(most), "x long, y long")
+
+
+# --- Verification and components -------------------------------------------------------------------------------------
+
+
 def _verify(idf: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, table = Shingler(), idf.value
@@ -301,37 +414,48 @@ def _verify(idf: Broadcast):
         text, known = None, None
         for batch in batches:
             x, y, left, right = (batch.column(k).to_pylist() for k in range(4))
-            keep = []
+            similar = []
             for k in range(len(x)):
-                if right[k] != text:  # sorted by the right text's document
+                if right[k] != text:  # sorted by the right text's row
                     text, known = right[k], vector(right[k])
-                keep.append(similarity(vector(left[k]), known) >= LEAST)
+                similar.append(similarity(vector(left[k]), known) >= LEAST)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(itertools.compress(c, keep)), pa.int64()) for c in (x, y)], names=["x", "y"]
+                [pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(similar, pa.bool_())], names=["x", "y", "similar"]
             )
 
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
-    """x and y of the pairs (x, x_doc, x_tie, y, y_doc, y_tie) whose texts are similar."""
-    left = pairs.join(texts.select(F.col("doc").alias("x_doc"), F.col("tie").alias("x_tie"), F.col("text").alias("left")), ["x_doc", "x_tie"])
-    both = left.join(texts.select(F.col("doc").alias("y_doc"), F.col("tie").alias("y_tie"), F.col("text").alias("right")), ["y_doc", "y_tie"])
-    return both.select("x", "y", "left", "right").mapInArrow(_verify(idf), "x long, y long").distinct()
+    """x, y and similar of each pair of rows (x, y), whichever way round it came."""
+    once = pairs.withColumns({"_a": F.least("x", "y"), "_b": F.greatest("x", "y")}).dropDuplicates(["_a", "_b"]).select("x", "y")
+    left = once.join(texts.toDF("x", "left"), "x")
+    both = left.join(texts.toDF("y", "right"), "y")
+    return both.select("x", "y", "left", "right").mapInArrow(_verify(idf), "x long, y long, similar boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) of each node in `links` (x, y), by alternating stars.
+def components(links: DataFrame, scratch: _docs.Scratch | None = None) -> DataFrame:
+    """node and root (the least node of its component) of each node in `links` (x, y) that isn't its root.
 
-    Links are replaced until each goes from a node to its root; each round's links are cut off from their lineage.
+    By alternating stars: links are replaced until each goes from a node to its root; each round's links are cut off
+    from their lineage. Joins to a node with very many links are salted.
     """
 
+    scratch = scratch or _docs.Scratch(links.sparkSession, "components")
+
+    def least_of(directed: DataFrame) -> DataFrame:
+        return directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+    def meet(directed: DataFrame, least: DataFrame) -> DataFrame:
+        salted = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return directed.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "_salt"])
+
     def stars(edges: DataFrame, both: bool) -> DataFrame:
         directed = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v")
         if both:
             directed = directed.unionByName(directed.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = directed.join(least, "u")
+        least = least_of(directed)
+        joined = meet(directed, least)
         if both:
             return joined.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         rest = joined.where("v <> m").select(F.col("v").alias("x"), F.col("m").alias("y"))
@@ -340,90 +464,120 @@ def components(links: DataFrame) -> DataFrame:
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
 
-    edges = links.where("x <> y").select("x", "y").checkpoint()
+    edges = scratch(links.where("x <> y").select("x", "y"), "edges")
     before = None
     while (now := state(edges)) != before:
         before = now
-        edges = stars(stars(edges, True), False).checkpoint()
+        if not now[0]:
+            break
+        edges = scratch(stars(stars(edges, True), False), "edges")
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
+def _joined(roots: DataFrame, links: DataFrame, scratch: _docs.Scratch) -> DataFrame:
+    """node and root of every node that isn't its root, once `links` (x, y) are added.
+
+    Only links between components move through `components`; nodes get their new root by one join.
+    """
+    far = links.select("x", "y")
+    for end in ("x", "y"):
+        far = far.join(roots.toDF(end, "_root"), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    new = components(far.where("x <> y").distinct(), scratch).toDF("root", "_new")
+    moved = roots.join(new, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return scratch(moved.union(new), "roots")
+
+
 def classify(docs: DataFrame) -> DataFrame:
     """The near-duplicate class of each row of `docs` (doc_id, text).
 
     Two documents are linked if their weighted Jaccard similarity is LEAST or more; a class is a connected component.
     Gives doc_id, class_id (the least doc_id of the class), n_class (its documents) and kept (true for one of them, of
-    that doc_id); also doc and tie, by which a row is found again (see `keys`).
+    that doc_id); also doc and key, by which a row is found again (see `keys`).
 
     Texts that differ in case and punctuation alone are alike. A null or empty text, or one without words, is in a
     class of its own; a text of fewer than SHINGLE words is like those of the same words. A null doc_id comes before
     all others. Rows with equal doc_id are documents of their own. An empty table gives no rows. Further columns are
-    not read. It runs jobs at once and leaves checkpoints in the session's checkpoint folder.
+    not read. It runs jobs at once; three small tables that the result is read from stay in the session's shared folder.
     """
     spark = docs.sparkSession
-    _docs.shared_folder(spark)
+    scratch = _docs.Scratch(spark, "near")
     _docs.bound_batches(spark)
-    keyed = keys(docs).select("doc", "tie", F.col("text").cast("string").alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = keys(docs).select("doc", "key", F.col("text").cast("string").alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    signed = _signatures(keyed, idf).checkpoint()
-    copies = signed.groupBy("copy_a", "copy_b").agg(F.min("row").alias("row"))
-    singles = signed.where("bands is not null").join(copies.select("row"), "row", "left_semi")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = "band long, row long, doc long, tie long, brief binary, y long, y_doc long, y_tie long"
-    buckets = singles.select(F.explode("bands").alias("band"), "row", "doc", "tie", "brief").repartition(n, "band").sortWithinPartitions("band", "row")
-    first = buckets.select("*", F.col("row").alias("root"), F.lit(None).cast("array<long>").alias("failed"))
-    found = first.mapInArrow(_candidates(1), kinds).checkpoint()
-    involved = found.select("doc", "tie").union(found.where("y is not null").select("y_doc", "y_tie")).distinct()
-    texts = keyed.join(involved, ["doc", "tie"], "left_semi").checkpoint()
-    roots = failed = spark.createDataFrame([], "x long, y long")
-    most = 1
-    while not found.isEmpty():
-        pairs = found.where("y is not null").select(
-            F.col("row").alias("x"), F.col("doc").alias("x_doc"), F.col("tie").alias("x_tie"), "y", "y_doc", "y_tie"
-        ).dropDuplicates(["x", "y"])
-        links = _verified(pairs, texts, idf).checkpoint()
-        failed = failed.union(pairs.select("x", "y").join(links, ["x", "y"], "left_anti")).checkpoint()
-        roots = components(roots.union(links)).toDF("x", "y")
+    signed = scratch(_signatures(keyed, idf), "signed")
+    first = F.min(F.struct("doc", "key", "row")).alias("first")
+    copies = scratch(signed.groupBy("copy_a", "copy_b").agg(F.min("row").alias("node"), F.count("*").alias("n"), first), "copies")
+    singles = signed.where("bands is not null").join(copies.select(F.col("node").alias("row")), "row", "left_semi")
+    buckets = scratch(_buckets(singles), "buckets")
+    involved = signed.select("row", "doc", "key").join(buckets.select("row").distinct(), "row", "left_semi").select("row", "doc", "key")
+    again = Window.partitionBy("doc", "key").orderBy(F.lit(1))  # wholly equal rows
+    texts = keyed.join(involved, ["doc", "key"]).withColumn("_n", F.row_number().over(again)).where("_n = 1").select("row", "text")
+    texts = scratch(texts, "texts")
+    roots = spark.createDataFrame([], "node long, root long")
+    failed = spark.createDataFrame([], "x long, y long")
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal roots, failed
+        tried = scratch(_verified(pairs, texts, idf), "tried")
+        failed = failed.union(tried.where("not similar").select("x", "y"))
+        links = tried.where("similar")
+        if not links.isEmpty():
+            roots = _joined(roots, links, scratch)
+
+    for bands in ROUNDS:
+        settle(_star_round(buckets.where(F.col("nr").isin(list(bands))), roots, parts))
+    most = 4
+    while True:
+        found = scratch(_cross_round(buckets, roots, failed, most, parts), "found")
+        settle(found.where("x is not null"))
+        if found.where("x is null").isEmpty():
+            break
         most *= GROWTH
-        rest = (
-            found.where("y is null")
-            .select("band", "row", "doc", "tie", "brief")
-            .join(roots.toDF("row", "root"), "row", "left")
-            .join(failed.groupBy(F.col("x").alias("row")).agg(F.collect_list("y").alias("failed")), "row", "left")
-            .select("band", "row", "doc", "tie", "brief", F.coalesce("root", "row").alias("root"), "failed")
-        )
-        found = rest.repartition(n, "band").sortWithinPartitions("band", "row").mapInArrow(_candidates(most), kinds).checkpoint()
-    roots = roots.toDF("node", "root")
-    member = (
-        signed.select("row", "doc", "tie", "copy_a", "copy_b")
-        .join(copies.withColumnRenamed("row", "node"), ["copy_a", "copy_b"])
-        .join(roots, "node", "left")
-        .select("row", "doc", "tie", F.coalesce("root", "node").alias("root"))
+    scratch.drop("buckets", "texts", "tried", "found", "edges")
+    classes = (
+        copies.join(roots, "node", "left")
+        .select(F.coalesce("root", "node").alias("root"), "n", "first")
+        .groupBy("root")
+        .agg(F.sum("n").alias("n_class"), F.min("first").alias("first"))
     )
-    classes = member.groupBy("root").agg(F.min(F.struct("doc", "tie", "row")).alias("first"), F.count("*").alias("n_class"))
+    told = copies.select("copy_a", "copy_b", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes, "root")
+    member = signed.select("row", "doc", "key", "copy_a", "copy_b").join(told.select("copy_a", "copy_b", "n_class", "first"), ["copy_a", "copy_b"])
     doc_id = lambda c: F.when(F.col(c) != NULL, F.col(c))
-    return member.join(classes, "root").select(
+    return member.select(
         doc_id("doc").alias("doc_id"),
         doc_id("first.doc").alias("class_id"),
         "n_class",
         (F.col("row") == F.col("first.row")).alias("kept"),
         "doc",
-        "tie",
+        "key",
     )
 
 
 def keys(docs: DataFrame, prefix: str = "", *columns: str) -> DataFrame:
-    """doc (doc_id, or the least long for null) and tie (a hash of the text) after the named columns, else doc_id, text."""
+    """doc (doc_id, or the least long for null) and key (128 bits of the text) after the named columns, else doc_id, text."""
     return docs.select(
         *(columns or ("doc_id", "text")),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias(f"{prefix}doc"),
-        F.coalesce(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << TIE_BITS)), F.lit(0)).alias(f"{prefix}tie"),
+        # Plainly never null: else a join would filter one side below the exchange that both sides share.
+        F.coalesce(_docs.row_key(), F.lit(b"")).alias(f"{prefix}key"),
     )
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each class of `classify`, with all its columns."""
-    own = ["__own_doc", "__own_tie"]
-    kept = classify(docs).where("kept").select(*(F.col(c.removeprefix("__own_")).alias(c) for c in own))
-    one = keys(docs, "__own_", "*").join(kept, own, "left_semi")
-    return one.dropDuplicates(own).drop(*own)  # of wholly equal rows one stays
+    """One row of each class of `classify`, with all its columns, whatever their names.
+
+    Rows without words are classes of their own and all stay, repeated ones too. Of rows with equal doc_id and text one
+    stays, at will where further columns differ. Null doc_ids, empty texts and an empty table are as in `classify`.
+    """
+    own = [_docs.free_name(docs, n) for n in ("doc", "key", "nr")]
+    kept = classify(docs).where("kept").select(F.col("doc").alias(own[0]), F.col("key").alias(own[1])).distinct()
+    marked = docs.select(
+        "*",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias(own[0]),
+        F.coalesce(_docs.row_key(), F.lit(b"")).alias(own[1]),
+    )
+    one = marked.join(kept, own[:2], "left_semi")
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy(*own[:2]).orderBy(F.lit(1)))
+    return one.withColumn(own[2], nth).where((F.col(own[2]) == 1) | ~words).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -323,10 +324,13 @@ def test_near_duplicates_against_brute_force(spark, prose, docs):
     assert kept.schema == docs.schema and kept.count() == len(ODD) - 1
 
 
-def test_near_duplicate_pairs_of_a_bucket_are_tried_until_one_passes():
-    def text(row, brief, root=None, failed=None):
-        return row, row, 0, bytes(brief), row if root is None else root, failed
+def _block(*texts):
+    """rows, briefs, roots, failed of texts (row, brief, root, failed)."""
+    rows, briefs, roots, failed = zip(*texts)
+    return np.array(rows), np.array(briefs, np.uint8), np.array(roots), list(failed)
+
 
+def test_near_duplicate_pairs_of_a_bucket_are_tried_until_one_passes():
     rng = np.random.Generator(np.random.PCG64(1))
     base = rng.integers(0, 256, near_duplicates.SAMPLES).astype(np.uint8)
 
@@ -334,14 +338,24 @@ def test_near_duplicate_pairs_of_a_bucket_are_tried_until_one_passes():
         return np.concatenate([base[: len(base) - n], base[len(base) - n :] ^ np.uint8(1)])
 
     a, b, x = base, changed(5), changed(9)  # x is most like b, and still like a
-    pairs, more = near_duplicates.bucket_pairs([text(1, a), text(2, b), text(3, x)], 1)
-    assert [(p[0], p[3]) for p in pairs] == [(2, 1), (3, 2)] and more
+    cross = near_duplicates.cross_pairs
+    assert cross(_block((1, a, 1, None), (2, b, 2, None), (3, x, 3, None)), None, 1) == ([(2, 1), (3, 2)], True)
     # (3, 2) failed, whatever else b is linked to: a is next
-    pairs, more = near_duplicates.bucket_pairs([text(1, a, 1), text(2, b, 1), text(3, x, 3, [2])], 1)
-    assert [(p[0], p[3]) for p in pairs] == [(3, 1)] and not more
-    pairs, more = near_duplicates.bucket_pairs([text(1, a, 1), text(2, b, 1), text(3, x, 3, [2, 1])], 1)
-    assert pairs == [] and not more
-    assert near_duplicates.bucket_pairs([text(1, a, 1), text(2, b, 1), text(3, x, 1)], 1) == ([], False)
+    assert cross(_block((1, a, 1, None), (2, b, 1, None), (3, x, 3, [2])), None, 1) == ([(3, 1)], False)
+    assert cross(_block((1, a, 1, None), (2, b, 1, None), (3, x, 3, [2, 1])), None, 1) == ([], False)
+    assert cross(_block((1, a, 1, None), (2, b, 1, None), (3, x, 1, None)), None, 1) == ([], False)
+    assert cross(_block((3, x, 3, None)), _block((1, a, 1, None), (2, b, 1, None)), 1) == ([(3, 2)], True)
+    assert sorted(cross(_block((3, x, 3, None)), _block((1, a, 1, None), (2, b, 1, None)), 9)[0]) == [(3, 1), (3, 2)]
+
+
+def test_near_duplicate_pairs_of_a_first_round_are_as_many_as_texts():
+    rng = np.random.Generator(np.random.PCG64(2))
+    base = rng.integers(0, 256, near_duplicates.SAMPLES).astype(np.uint8)
+    briefs = np.array([np.where(rng.random(len(base)) < 0.05, base + np.uint8(1), base) for _ in range(500)])
+    pairs = near_duplicates.star_pairs(np.arange(500), briefs, np.arange(500))
+    assert len(pairs) == 499 and len({p[1] for p in pairs}) == 1
+    assert near_duplicates.star_pairs(np.arange(500), briefs, np.zeros(500, int)) == []
+    assert len(near_duplicates.star_pairs(np.arange(500), briefs, np.arange(500) % 3)) == 2
 
 
 def test_near_duplicates_of_many_versions_of_a_text(spark):
@@ -381,10 +395,49 @@ def test_near_duplicates_of_many_versions_of_a_text(spark):
     assert {r.doc_id: r.class_id for r in found} == {k: root(k) for k in range(len(rows))}
 
 
-def test_near_duplicates_that_seem_to_share_an_earlier_band_are_paired():
-    brief = bytes(range(near_duplicates.SAMPLES))  # low bytes agree in every band, though an earlier band's keys may differ
-    pairs, more = near_duplicates.bucket_pairs([(1, 1, 0, brief, 1, None), (2, 2, 0, brief, 2, None)], 1)
-    assert pairs == [(2, 2, 0, 1, 1, 0)] and not more
+def test_near_duplicates_keep_every_row_of_its_own(spark):
+    """Null doc_ids, repeated rows and texts without words neither collide nor vanish."""
+    rows = [(None, f"word{k} other{k} third{k}", k) for k in range(20_000)] + [(None, "", k) for k in range(5)] + [(7, None, 1), (7, None, 2), (7, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc long")
+    kept = near_duplicates.keep(df)
+    assert kept.schema == df.schema and kept.count() == len(rows)
+    a = " ".join(f"x{k}" for k in range(200))
+    b = a.replace("x100 ", "y ")
+    twice = spark.createDataFrame([(1, a)] * 1500 + [(1, b)] * 1500, "doc_id long, text string")
+    found = near_duplicates.classify(twice).collect()
+    assert {r.n_class for r in found} == {3000} and sum(r.kept for r in found) == 1
+    assert near_duplicates.keep(twice).count() == 1
+
+
+def test_near_duplicate_similarity_does_not_follow_the_number_of_documents():
+    few = []
+    for n in (10_000, 1_000_000):  # the same texts, more often
+        df = np.full(near_duplicates.BUCKETS, 0.0003 * n)
+        df[:100] = 0.3 * n
+        few.append(near_duplicates.inverse_frequency(df, n))
+    assert np.allclose(*few, atol=1e-5) and few[0][200] == 2 and 1 < few[0][0] < 1.5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_near_duplicates_recall_against_all_rows(spark):
+    """Every document whose id is divisible by 50, against all: links of 0.8 or more that share a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(map(tuple, docs.collect()))
+    shingler = near_duplicates.Shingler()
+    vectors = [shingler.shingles(shingler.hashes(near_duplicates.words_of((t or "").encode()))) for _, t in rows]
+    count = np.zeros(near_duplicates.BUCKETS)
+    for s, _ in vectors:
+        count[np.unique(near_duplicates._bucket(s))] += 1
+    idf = near_duplicates.inverse_frequency(count, len(rows))
+    weighed = [(s, n.astype(np.float32) * idf[near_duplicates._bucket(s)]) for s, n in vectors]
+    class_of = {r.doc_id: r.class_id for r in near_duplicates.classify(docs).collect()}
+    links = [
+        (i, j)
+        for a, (i, _) in enumerate(rows)
+        for b, (j, _) in enumerate(rows)
+        if i % 50 == 0 and i != j and len(weighed[a][0]) and len(weighed[b][0]) and near_duplicates.similarity(weighed[a], weighed[b]) >= 0.8
+    ]
+    assert links and sum(class_of[i] == class_of[j] for i, j in links) >= 0.9 * len(links)
 
 
 def test_samples_estimate_weighted_jaccard():
@@ -442,6 +495,8 @@ def test_components_of_a_chain(spark):
     assert found == {**{k: 0 for k in range(1, 41)}, 101: 100, 103: 100}
 
 
-def test_cache_keeps_a_bounded_number():
-    cache = _docs.Cache(lambda k: k * 2, size=10)
-    assert [cache[k] for k in range(100)] == [k * 2 for k in range(100)] and len(cache) + len(cache.old) <= 20
+def test_cache_keeps_a_bounded_number_of_bytes():
+    cache = _docs.Cache(lambda k: k * 2, most=10_000)
+    keys = [b"%d" % k for k in range(10_000)] + [b"x" * (1 << 20)]
+    assert [cache[k] for k in keys] == [k * 2 for k in keys]
+    assert sum(len(k) + len(v) for held in (cache, cache.old) for k, v in held.items()) < 20_000 and max(map(len, cache)) < 257

@@ -55,6 +55,11 @@ def with_cm(segments: DataFrame, sites: DataFrame) -> DataFrame:
     return segments.drop("cm1", "cm2").join(one, ["chrom", "pid1"]).join(two, ["chrom", "pid2"])
 
 
+def placed(segments: DataFrame, sites: DataFrame) -> DataFrame:
+    """Segments with cm1 and cm2: as they are if they have them."""
+    return segments if {"cm1", "cm2"} <= set(segments.columns) else with_cm(segments, sites)
+
+
 def both_in(segments: DataFrame, sids: DataFrame) -> DataFrame:
     """Segments whose samples are both in `sids` (sid)."""
     one = sids.select(F.col("sid").alias("sid1"))

@@ -1,7 +1,7 @@
 """Genetic map: slopes, interpolation from bp to cM and back, places of cut points among sites.
 
-Lookups are as-of joins: map points and queries are merged and a running last value carries the point in effect. That
-needs one sort by chromosome in place of a range join, whose rows would be tested pair by pair.
+Lookups are as-of joins: map points and queries are merged by stretch of the chromosome, and a running last value carries
+the point in effect. That needs one sort in place of a range join, whose rows would be tested pair by pair.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Stretches of a chromosome, the last one open, and their length by axis.
+STRETCHES, STRETCH = 1024, {"bp": float(1 << 20), "cm": 1.0}
+
 
 def with_slopes(points: DataFrame) -> DataFrame:
     """Map points (chrom, bp, cm) with slope, the cM for each bp up to the next point.
@@ -28,13 +31,22 @@ def with_slopes(points: DataFrame) -> DataFrame:
 
 
 def _as_of(queries: DataFrame, points: DataFrame, on: str, carried: tuple[str, ...]) -> DataFrame:
-    """queries with the columns of the last point at or before them, by chrom and `on`."""
+    """queries with `_point`, the carried columns of the last point at or before them (null: none), by chrom and `on`.
+
+    Both are dealt out by stretch of the chromosome; each stretch also gets the last point before it. Of points at the
+    same place the last by the first carried column counts.
+    """
+    at = F.col(on).cast("double")
+    stretch = F.greatest(F.least(F.floor(at / STRETCH[on]), F.lit(STRETCHES - 1)), F.lit(0)).cast("int")
     taken = F.struct(*(F.col(c).alias(c) for c in carried))
-    known = points.select("chrom", F.col(on).cast("double").alias("_at"), taken.alias("_point"))
-    asked = queries.select("chrom", F.col(on).cast("double").alias("_at"), F.struct("*").alias("_query"))
-    # Points come before queries of the same place, and of equal points the last counts.
-    order = Window.partitionBy("chrom").orderBy("_at", F.col("_query").isNotNull(), "_point.bp").rowsBetween(Window.unboundedPreceding, 0)
-    merged = known.withColumn("_query", F.lit(None).cast(asked.schema["_query"].dataType)).unionByName(
+    known = points.select("chrom", stretch.alias("_in"), at.alias("_at"), taken.alias("_point"))
+    last = known.groupBy("chrom", "_in").agg(F.max(F.struct("_at", "_point")).alias("_last"))
+    ahead = F.lead("_in", 1, STRETCHES - 1).over(Window.partitionBy("chrom").orderBy("_in"))
+    carry = last.withColumn("_to", ahead).where("_to > _in").select("chrom", F.explode(F.sequence(F.col("_in") + 1, "_to")).alias("_in"), "_last._at", "_last._point")
+    asked = queries.select("chrom", stretch.alias("_in"), at.alias("_at"), F.struct("*").alias("_query"))
+    # Points come before queries of the same place.
+    order = Window.partitionBy("chrom", "_in").orderBy("_at", F.col("_query").isNotNull(), f"_point.{carried[0]}").rowsBetween(Window.unboundedPreceding, 0)
+    merged = known.unionByName(carry).withColumn("_query", F.lit(None).cast(asked.schema["_query"].dataType)).unionByName(
         asked.withColumn("_point", F.lit(None).cast(known.schema["_point"].dataType))
     )
     found = merged.withColumn("_point", F.last("_point", ignorenulls=True).over(order)).where("_query is not null")
@@ -71,14 +83,8 @@ def sites(positions: DataFrame, points: DataFrame) -> DataFrame:
 
 def sites_up_to(queries: DataFrame, sites_: DataFrame, on: str = "bp") -> DataFrame:
     """queries (chrom, `on`, ...) with n_sites: how many sites are at or before them; that is the next site's pid."""
-    known = sites_.select("chrom", F.col(on).cast("double").alias("_at"), F.lit(1).alias("_one"))
-    asked = queries.select("chrom", F.col(on).cast("double").alias("_at"), F.struct("*").alias("_query"))
-    merged = known.withColumn("_query", F.lit(None).cast(asked.schema["_query"].dataType)).unionByName(
-        asked.withColumn("_one", F.lit(0))
-    )
-    order = Window.partitionBy("chrom").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    counted = merged.withColumn("n_sites", F.sum("_one").over(order).cast("int")).where("_query is not null")
-    return counted.select("_query.*", "n_sites")
+    found = _as_of(queries, sites_, on, ("pid",))
+    return found.withColumn("n_sites", F.coalesce(F.col("_point.pid") + 1, F.lit(0)).cast("int")).drop("_point")
 
 
 def boundary_pids(ranges: DataFrame, sites_: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def totals(segments: DataFrame, least_cm: float = 2.0, most_cm: float | None = N
 
 
 def add(*parts: DataFrame) -> DataFrame:
-    """The sum of totals, cell by cell."""
+    """The sum of totals, cell by cell; of one table that has a cell several times, as by chromosome, the same."""
     whole = parts[0].select("row", "col", "cm10x")
     for part in parts[1:]:
         whole = whole.unionByName(part.select("row", "col", "cm10x"))
@@ -46,9 +46,16 @@ def band(totals_: DataFrame, low_cm: float = 0.0, high_cm: float = 6553.5) -> Da
     return totals_.where(kept if high >= 65535 else kept & (F.col("cm10x") < high))
 
 
-def subset(totals_: DataFrame, ids: DataFrame, haplotypes: bool = False) -> DataFrame:
-    """Cells of the samples in `ids` (sid), numbered anew from 0 by sid. Repeated ids are an error; two at least."""
-    chosen = ids.select(F.col("sid").cast("int").alias("old"))
+def subset(totals_: DataFrame, ids: DataFrame, haplotypes: bool = False, d: int | None = None) -> DataFrame:
+    """Cells of the samples in `ids` (sid), numbered anew from 0 by sid.
+
+    Repeated ids are an error, and so are fewer than two and, where the number of samples `d` is given, ids beyond it.
+    """
+    sid = F.col("sid").cast("int")
+    outside = sid.isNull() | (sid < 0) | (sid >= F.lit(d) if d is not None else F.lit(False))
+    chosen = ids.select(F.when(outside, F.raise_error(F.concat(F.lit("no such sample: "), F.coalesce(sid.cast("string"), F.lit("null"))))).otherwise(sid).alias("old"))
+    if chosen.limit(2).count() < 2:
+        raise ValueError("a subset needs two samples at least")
     if haplotypes:
         chosen = chosen.select(F.explode(F.array(F.col("old") * 2, F.col("old") * 2 + 1)).alias("old"))
     n = F.count("*").over(Window.partitionBy("old"))

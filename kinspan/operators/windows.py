@@ -9,6 +9,10 @@ from kinspan.functions import scalars as S
 from kinspan.operators import genetic_map
 
 
+#: Chromosomes to which exclusion lines without one are spread.
+MOST_CHROMS = 10_000
+
+
 def density(sites: DataFrame, window: float = 2.0) -> DataFrame:
     """Sites in each window of `window` cM: chrom, win, cm (where it starts), n_sites; empty windows too."""
     if window <= 0:
@@ -87,9 +91,14 @@ def density_regions(sites: DataFrame, window: float = 2.0, least: int = 10) -> D
 
 
 def exclude(regions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """regions (chrom, pid_s, label) with label 0 from pid_left up to, not including, pid_right of each range."""
-    bad = ranges.where("pid_left > pid_right")
-    ranges = ranges.join(bad, ["chrom", "pid_left", "pid_right"], "left_anti")
+    """regions (chrom, pid_s, label) with label 0 from pid_left up to, not including, pid_right of each range.
+
+    A range that ends before it starts, or starts before its chromosome's first region, is an error.
+    """
+    first = regions.groupBy("chrom").agg(F.min("pid_s").alias("_first"))
+    wrong = F.raise_error(F.format_string("not a range within the regions: %d to %d", "pid_left", "pid_right"))
+    fits = F.coalesce(F.col("_first") <= F.col("pid_left"), F.lit(False)) & (F.col("pid_left") <= F.col("pid_right"))
+    ranges = ranges.join(first, "chrom", "left").withColumn("pid_left", F.when(fits, F.col("pid_left")).otherwise(wrong))
     steps = ranges.select("chrom", F.explode(F.array(F.struct(F.col("pid_left").alias("pid_s"), F.lit(1).alias("step")), F.struct(F.col("pid_right").alias("pid_s"), F.lit(-1).alias("step")))).alias("e"))
     steps = steps.groupBy("chrom", "e.pid_s").agg(F.sum("e.step").alias("step"))
     merged = regions.select("chrom", "pid_s", "label").join(steps, ["chrom", "pid_s"], "full")
@@ -107,7 +116,12 @@ def exclusion_ranges(lines: DataFrame, chroms: DataFrame, points: DataFrame, sit
     """
     kind = F.upper(F.trim("kind"))
     checked = lines.withColumn("kind", F.when(kind.isin("CM", "BP"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown kind: "), F.col("kind")))))
-    every = checked.join(chroms.withColumn("_all", F.lit(1)), F.lit(True)) if "chrom" not in lines.columns else checked
+    every = checked
+    if "chrom" not in lines.columns:  # each line holds for every chromosome; their names come to the driver
+        names = [r.chrom for r in chroms.select("chrom").distinct().limit(MOST_CHROMS + 1).collect()]
+        if len(names) > MOST_CHROMS:
+            raise ValueError(f"over {MOST_CHROMS} chromosomes")
+        every = checked.withColumn("chrom", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
     bp = every.where("kind = 'BP'").select("chrom", F.col("left").alias("left_bp"), F.col("right").alias("right_bp"))
     cm = every.where("kind = 'CM'").select("chrom", F.col("left").alias("cm"), "right")
     cm = genetic_map.to_bp(cm, points).select("chrom", F.col("bp").alias("left_bp"), F.col("right").alias("cm"))

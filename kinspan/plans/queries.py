@@ -193,7 +193,7 @@ def discordance(spark, sf_dir):
 
 def genome_wide_sum(spark, sf_dir):
     each = matrix.totals(D.segments(spark, sf_dir), LEAST, by_chrom=True)
-    return matrix.add(*(each.where(F.col("chrom") == c) for c in D.CHROMS))
+    return matrix.add(each)
 
 
 def total_band(spark, sf_dir):
@@ -252,12 +252,12 @@ _SQL = {
     map_slopes: f"with {_POINTS} select chrom, bp, cast(round(slope * 1e12) as bigint) as slope_pico from points",
     map_to_cm: f"""with {_SITES}, {_POINTS} select s.chrom, s.bp, cast(round(((s.bp - p.bp) * slope + p.cm) * 1e6) as bigint) as cm_micro
         from sites s asof join points p on s.chrom = p.chrom and s.bp >= p.bp""",
-    map_to_bp: f"""with {_SITES}, {_POINTS}, asked as (select chrom, pid, pid * 0.4::double as cm from sites where pid < 300), found as (
+    map_to_bp: f"""with {_SITES}, {_POINTS}, asked as (select chrom, pid, pid * 0.4::double as cm from sites), found as (
             select a.chrom, a.pid, a.cm, max(p.bp) as bp from asked a join points p on a.chrom = p.chrom and p.cm <= a.cm group by all)
         select f.chrom, pid, cast(round(f.bp + coalesce((f.cm - p.cm) / nullif(slope, 0), 0)) as bigint) as bp
         from found f join points p on f.chrom = p.chrom and f.bp = p.bp""",
     boundary_pids: f"""with {_SPARSE}, asked as (select chrom, cast(d * 1000 + 1 - 500 as bigint) as left_bp, cast(d * 1000 + 1 + 1000 * d as bigint) as right_bp
-            from range(2561) t(d), {_CHROMS} where d % 50 = 0)
+            from range(2561) t(d), {_CHROMS})
         select a.chrom, left_bp, right_bp, cast(greatest(count(*) filter (bp <= left_bp) - 1, 0) as int) as pid_left,
         cast(count(*) filter (bp <= right_bp) as int) as pid_right from asked a join sites s using (chrom) group by all""",
     density_regions: f"with {_SPARSE}, {_REGIONS} select chrom, cast(pid_s as int) as pid_s, cast(label as int) as label from regions",
@@ -296,9 +296,11 @@ _SQL |= {
             join gt x on x.sid = g.sid1 and x.pid > g.before and x.pid < g.pid1 join gt y on y.sid = g.sid2 and y.pid = x.pid
             where {_DIFFER} group by all having count(*) > 1)"""
     + _ISLANDS.format(closed=f"({_SHORT} and not exists (select 1 from bad where bad.chrom = prev.chrom and bad.sid1 = prev.sid1 and bad.sid2 = prev.sid2 and bad.before = prev.before and bad.pid1 = prev.pid1))"),
-    discordance: f"""with {_SEG}, {_GT}, gap as (select distinct chrom, sid1, sid2, pid1 as gap_start, pid2 as gap_end from seg where pid1 % 5 = 0)
-        select g.*, cast(coalesce((select count(*) from gt x join gt y on x.pid = y.pid where x.sid = g.sid1 and y.sid = g.sid2
-            and x.pid > g.gap_start and x.pid < g.gap_end and {_DIFFER}), 0) as int) as n_discordant from gap g""",
+    discordance: f"""with {_SEG}, {_GT}, gap as (select distinct chrom, sid1, sid2, pid1 as gap_start, pid2 as gap_end from seg),
+        inside as (select *, unnest(range(gap_start + 1, gap_end)) as pid from gap),
+        bad as (select chrom, sid1, sid2, gap_start, gap_end, count(*) as n from inside i join gt x on x.pid = i.pid and x.sid = sid1
+            join gt y on y.pid = i.pid and y.sid = sid2 where {_DIFFER} group by all)
+        select gap.*, cast(coalesce(n, 0) as int) as n_discordant from gap left join bad using (chrom, sid1, sid2, gap_start, gap_end)""",
     genome_wide_sum: f"with {_TOTALS} select * from totals",
     total_band: f"with {_TOTALS} select * from totals where cm10x >= 600 and cm10x < 900",
     total_subset: f"""with {_TOTALS}, {_CHOSEN}, ids as (select sid, cast(row_number() over (order by sid) - 1 as int) as new from chosen)

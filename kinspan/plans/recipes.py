@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspan.operators import cut, encode, genetic_map, matrix, merge, windows
+from kinspan.sources import readers, writers
 
 
 def encode_all(raw: DataFrame, samples: DataFrame, positions: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +21,7 @@ def snpdens(sites: DataFrame, window: float = 2.0) -> DataFrame:
 
 def coverage(segments: DataFrame, sites: DataFrame, window: float = 1.0, sids: DataFrame | None = None) -> DataFrame:
     chosen = segments if sids is None else encode.both_in(segments, sids)
-    return windows.coverage(encode.with_cm(chosen, sites), sites, window)
+    return windows.coverage(encode.placed(chosen, sites), sites, window)
 
 
 def labels(sites: DataFrame, window: float = 2.0, least: int = 10, ranges: DataFrame | None = None) -> DataFrame:
@@ -28,6 +29,39 @@ def labels(sites: DataFrame, window: float = 2.0, least: int = 10, ranges: DataF
     return regions if ranges is None else windows.exclude(regions, ranges)
 
 
+def view_by_name(segments: DataFrame, samples: DataFrame, sites: DataFrame, sample1: str, sample2: str) -> DataFrame:
+    """`view` of a pair given by names."""
+    shown = encode.decode(encode.pair_by_name(segments, samples, sample1, sample2), samples, sites)
+    return shown.withColumns({"hap1": F.col("hap1") - 1, "hap2": F.col("hap2") - 1})
+
+
+def matrix_files(spark: SparkSession, paths: list[str], prefix: str, low_cm: float = 0.0, high_cm: float = 6553.5, sids: DataFrame | None = None, width_cm: float = 1.0) -> DataFrame:
+    """The sum of two or more matrix files: band, then subset, written under `prefix` with its histogram as text; gives the totals."""
+    read = [readers.matrix_file(spark, p) for p in paths]
+    heads = [head for _, head in read]
+    if len(read) < 2 or len({(h["d"], h["haplotypes"], tuple(h["subset"])) for h in heads}) > 1:
+        raise ValueError("two files at least, of the same samples")
+    head = heads[0]
+    if sids is not None and head["subset"]:
+        raise ValueError("these matrices are subsets already")
+    found = matrix.band(matrix.add(*(totals for totals, _ in read)), low_cm, high_cm)
+    d, ids = head["d"], tuple(head["subset"])
+    if sids is not None:
+        found = matrix.subset(found, sids, head["haplotypes"], d // (1 + head["haplotypes"]))
+        ids = tuple(sorted(r.sid for r in sids.select("sid").collect()))
+        d = len(ids) * (1 + head["haplotypes"])
+    writers.matrix_file(found, d, writers.matrix_name(prefix, low_cm, high_cm), head["haplotypes"], ids)
+    writers.histogram_text(matrix.histogram(found, d, width_cm), f"{prefix}_hist", d)
+    return found
+
+
+def coverage_report(segments: DataFrame, sites: DataFrame, path: str, window: float = 1.0, sids: DataFrame | None = None) -> DataFrame:
+    """Coverage, written as text; records processed count those that the sub-population leaves out as well."""
+    found = coverage(segments, sites, window, sids)
+    writers.coverage_text(found, path, window, segments.count())
+    return found
+
+
 def split(segments: DataFrame, sites: DataFrame, window: float = 2.0, least: int = 10, least_cm: float = 2.0, ranges: DataFrame | None = None) -> DataFrame:
     return cut.split(segments, labels(sites, window, least, ranges), sites, least_cm)
 
@@ -77,4 +111,4 @@ def view(segments: DataFrame, samples: DataFrame, sites: DataFrame, sid1: int =
 
 
 def stat(segments: DataFrame, sites: DataFrame) -> DataFrame:
-    return windows.length_histogram(encode.with_cm(segments, sites))
+    return windows.length_histogram(encode.placed(segments, sites))

@@ -89,7 +89,9 @@ def matrix_file(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
                         names=["row", "col", "cm10x"],
                     )
 
-    head = files.orderBy("path").select(F.substring("content", 1, 1 << 20).alias("content")).first()
+    first = files.select(F.col("path").alias("path")).orderBy("path").limit(1)
+    size = struct.unpack_from("<Q", bytes(files.join(first, "path", "left_semi").select(F.substring("content", 6, 8).alias("n")).first().n))[0]
+    head = files.join(first, "path", "left_semi").select(F.substring("content", 1, 13 + size).alias("content")).first()
     is_hap, d, ids, _ = _matrix(bytes(head.content), cells=False)
     return files.mapInArrow(cells, schema.TOTALS), {"haplotypes": bool(is_hap), "d": d, "subset": ids.tolist()}
 
@@ -97,16 +99,29 @@ def matrix_file(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 def _matrix(content: bytes, cells: bool = True) -> tuple[int, int, np.ndarray, np.ndarray]:
     is_hap, d, size = struct.unpack_from("<BIQ", content)
     ids = np.frombuffer(content, "<u4", size // 4, 13)
-    n = struct.unpack_from("<Q", content, 13 + size)[0] // 2 if cells else 0
-    return is_hap, d, ids, np.frombuffer(content, "<u2", n, 21 + size)
+    if not cells:
+        return is_hap, d, ids, np.empty(0, "<u2")
+    return is_hap, d, ids, np.frombuffer(content, "<u2", struct.unpack_from("<Q", content, 13 + size)[0] // 2, 21 + size)
 
 
-def coverage_file(path: str) -> tuple[float, np.ndarray, np.ndarray]:
-    """Window, starts and counts of a binary coverage file: a 32-bit float, a 64-bit n, n floats, n 64-bit counts."""
-    with open(path, "rb") as f:
-        window, n = struct.unpack("<fQ", f.read(12))
-        starts = np.frombuffer(f.read(4 * n), "<f4")
-        return window, starts, np.frombuffer(f.read(8 * n), "<u8")
+def coverage_file(spark: SparkSession, path: str) -> DataFrame:
+    """path, win, cm (where it starts), n_segments and the width `window` of each binary coverage file.
+
+    A file is a 32-bit width, a 64-bit n, n 32-bit starts and n 64-bit counts; it is read by one task, whatever the store.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                window, n = struct.unpack_from("<fQ", content)
+                starts, counts = np.frombuffer(content, "<f4", n, 12), np.frombuffer(content, "<u8", n, 12 + 4 * n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n, pa.string()), pa.array(np.arange(n), pa.int32()), pa.array(starts, pa.float32()), pa.array(counts.astype(np.int64)), pa.array(np.full(n, window, np.float32))],
+                    names=["path", "win", "cm", "n_segments", "window"],
+                )
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(rows, "path string, win int, cm float, n_segments bigint, window float")
 
 
 def table(spark: SparkSession, path: str, chroms: list[str] | None = None) -> DataFrame:

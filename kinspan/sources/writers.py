@@ -5,13 +5,25 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Cells of a dense matrix that may come to the driver.
 DENSE_CELLS = 50_000_000
 
 
+def write_bytes(spark: SparkSession, path: str, parts: list[bytes]) -> None:
+    """One binary file, in whatever file system Spark finds the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for part in parts:
+            for start in range(0, len(part), 1 << 22):
+                out.write(bytearray(part[start : start + (1 << 22)]))
+    finally:
+        out.close()
+
+
 def table(df: DataFrame, path: str) -> None:
     """Parquet, a folder for each chromosome if there is one."""
     writer = df.write.mode("overwrite")
@@ -38,8 +50,10 @@ def text(df: DataFrame, path: str, comments: list[str], columns: list[str], orde
     head.unionByName(rows).orderBy("nr", "at").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
-def histogram_text(hist: DataFrame, path: str, d: int, nonzero: int) -> None:
-    """nonzero: pairs whose total is a bin or more."""
+def histogram_text(hist: DataFrame, path: str, d: int, nonzero: int | None = None) -> None:
+    """nonzero: pairs whose total is a bin or more; by default counted."""
+    if nonzero is None:
+        nonzero = hist.where("bin > 0").agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0]
     text(hist, path, [f"pairs: {d * (d - 1) // 2}", f"pairs of a bin or more: {nonzero}", f"samples: {d}"], ["cm", "n_pairs"], ["bin"])
 
 
@@ -81,8 +95,17 @@ def matrix_file(totals: DataFrame, d: int, path: str, haplotypes: bool = False,
             raise OverflowError(f"total of {row}, {col}: {cm10x}")
         cells[row * (row - 1) // 2 + col] = cm10x
     ids = np.array(subset, "<u4")
-    with open(path, "wb") as f:
-        f.write(struct.pack("<BIQ", haplotypes, d, ids.nbytes) + ids.tobytes() + struct.pack("<Q", cells.nbytes) + cells.tobytes())
+    head = struct.pack("<BIQ", haplotypes, d, ids.nbytes) + ids.tobytes() + struct.pack("<Q", cells.nbytes)
+    write_bytes(totals.sparkSession, path, [head, cells.tobytes()])
+
+
+def coverage_file(coverage: DataFrame, path: str, window: float, most_windows: int = DENSE_CELLS) -> None:
+    """The binary form of `readers.coverage_file`, of one chromosome's windows in order."""
+    rows = coverage.select("win", "cm", "n_segments").orderBy("win").limit(most_windows + 1).collect()
+    if len(rows) > most_windows:
+        raise ValueError(f"more than {most_windows} windows")
+    starts, counts = np.array([r.cm for r in rows], "<f4"), np.array([r.n_segments for r in rows], "<u8")
+    write_bytes(coverage.sparkSession, path, [struct.pack("<fQ", window, len(rows)), starts.tobytes(), counts.tobytes()])
 
 
 def matrix_name(prefix: str, low_cm: float = 0.0, high_cm: float = 6553.5) -> str:

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from kinspan.operators import genotypes, matrix
-from kinspan.plans import queries
 from kinspan.sources import readers, writers
 from kinspan.streaming import totals as streaming
 
@@ -75,10 +74,6 @@ def test_stream_totals(spark, tmp_path):
     assert sorted(map(tuple, spark.table("totals_now").collect())) == sorted(map(tuple, matrix.totals(batch).collect())) == [(1, 0, 55)]
 
 
-def test_every_query_has_sql():
-    assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
-
-
 def test_bcf(spark, tmp_path):
     import gzip
     import struct
@@ -114,3 +109,36 @@ def test_tables_and_equality(spark, tmp_path):
     assert [tuple(r) for r in compare.head(a, 1).collect()] == [("1", 1)] and compare.tail(a, 1).first().pid == 2
     put = compare.upsert(a.distinct(), spark.createDataFrame([("2", 9), ("3", 1)], "chrom string, pid int"), "chrom")
     assert sorted(map(tuple, put.collect())) == [("1", 1), ("2", 9), ("3", 1)]
+
+
+def test_coverage_file(spark, tmp_path):
+    rows = [("1", 1, 1.0, 7), ("1", 0, 0.0, 3)]
+    writers.coverage_file(spark.createDataFrame(rows, "chrom string, win int, cm float, n_segments long"), str(tmp_path / "c.cov"), 1.0)
+    assert sorted(tuple(r)[1:] for r in readers.coverage_file(spark, str(tmp_path / "c.cov")).collect()) == [(0, 0.0, 3, 1.0), (1, 1.0, 7, 1.0)]
+    writers.coverage_file(spark.createDataFrame([], "chrom string, win int, cm float, n_segments long"), str(tmp_path / "d.cov"), 2.0)
+    assert readers.coverage_file(spark, str(tmp_path / "d.cov")).count() == 0
+
+
+def test_matrix_file_of_very_many_samples(spark, tmp_path):
+    ids = tuple(range(300_000))
+    (tmp_path / "m.mat").write_bytes(b"\0" + (0).to_bytes(4, "little") + (4 * len(ids)).to_bytes(8, "little") + np.array(ids, "<u4").tobytes() + (0).to_bytes(8, "little"))
+    cells, head = readers.matrix_file(spark, str(tmp_path / "m.mat"))
+    assert cells.count() == 0 and head["subset"] == list(ids)
+
+
+def test_matrix_files_are_added_and_subset_once(spark, tmp_path):
+    from kinspan.plans import recipes
+
+    cells = spark.createDataFrame([(1, 0, 7), (3, 1, 65), (4, 3, 30)], "row int, col int, cm10x long")
+    paths = [str(tmp_path / f"{k}.mat") for k in "ab"]
+    for path in paths:
+        writers.matrix_file(cells, 5, path)
+    sids = spark.createDataFrame([(1,), (3,), (4,)], "sid int")
+    found = recipes.matrix_files(spark, paths, str(tmp_path / "sum"), 1.0, 99.0, sids)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 130), (2, 1, 60)]
+    written = str(tmp_path / writers.matrix_name("sum", 1.0, 99.0))
+    assert readers.matrix_file(spark, written)[1] == {"haplotypes": False, "d": 3, "subset": [1, 3, 4]}
+    with pytest.raises(ValueError, match="subsets already"):
+        recipes.matrix_files(spark, [written, written], str(tmp_path / "again"), sids=sids)
+    with pytest.raises(ValueError):
+        recipes.matrix_files(spark, paths[:1], str(tmp_path / "one"))

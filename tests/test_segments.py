@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinspan.functions import scalars as S
 from kinspan.operators import cut, encode, genetic_map, genotypes, matrix, merge, windows
 
+# Hand-computed cases that any engine for these operators has to give.
 SEGMENTS = [(0, 1), (0, 4), (2, 4), (0, 5), (5, 7), (3, 7), (0, 2), (2, 11), (3, 4), (4, 9), (0, 3)]
 
 
@@ -167,3 +168,41 @@ def test_empty_tables(spark, segments, sites):
     assert merge.merge(none, sites).count() == 0
     assert [r.n_segments for r in windows.coverage(none, sites).collect()] == [0] * 13
     assert [r.n_pairs for r in matrix.histogram(matrix.totals(none), 5).collect()] == [10]
+
+
+def test_errors_in_place_of_lost_rows(spark, segments, sites):
+    regions = spark.createDataFrame([("1", 1, 1), ("1", 5, 0)], "chrom string, pid_s int, label int")
+    for left, right in ((4, 3), (0, 3)):
+        ranges = spark.createDataFrame([("1", left, right)], "chrom string, pid_left int, pid_right int")
+        with pytest.raises(Exception, match="not a range"):
+            windows.exclude(regions, ranges).collect()
+    backward = spark.createDataFrame([("1", 1, 0, 0, 0, 5, 4)], segments.schema)
+    with pytest.raises(Exception, match="from site 5 back to 4"):
+        cut.split(backward, regions, sites).collect()
+    cells = matrix.from_triangle(spark.createDataFrame([(k, k) for k in range(10)], "nr long, cm10x long"))
+    with pytest.raises(ValueError, match="two samples"):
+        matrix.subset(cells, spark.createDataFrame([(1,)], "sid int"))
+    with pytest.raises(Exception, match="no such sample"):
+        matrix.subset(cells, spark.createDataFrame([(1,), (5,)], "sid int"), d=5).collect()
+    with pytest.raises(Exception, match="repeated id"):
+        matrix.subset(cells, spark.createDataFrame([(1,), (1,)], "sid int")).collect()
+
+
+def test_orders_of_segments(spark):
+    rows = _random_segments(random.Random(9), 60)
+    names = ["chrom", "sid1", "hid1", "sid2", "hid2", "pid1", "pid2"]
+    df = spark.createDataFrame(rows, "chrom string, sid1 int, hid1 int, sid2 int, hid2 int, pid1 int, pid2 int").repartition(3)
+    for by, order in (("pair", (0, 1, 3, 5, 6, 2, 4)), ("haplotype", (0, 1, 2, 3, 4, 5, 6))):
+        found = [tuple(r) for r in encode.ordered(df, by).select(names).collect()]
+        assert found == sorted(rows, key=lambda r: [r[k] for k in order])
+
+
+def test_as_of_across_stretches(spark):
+    rng = random.Random(4)
+    points = sorted(rng.sample(range(0, 5 * 10**6), 12)) + [2 * 10**9]
+    cm = [k * 1.5 for k in range(len(points))]
+    known = spark.createDataFrame([("1", b, c) for b, c in zip(points, cm)], "chrom string, bp long, cm double")
+    asked = [rng.randrange(0, 6 * 10**6) for _ in range(200)] + [10**9, 3 * 10**9] + points
+    sites_ = known.select("chrom", F.col("bp"), (F.col("cm") / 1.5).cast("int").alias("pid"))
+    found = genetic_map.sites_up_to(spark.createDataFrame([("1", b) for b in asked], "chrom string, bp long"), sites_).collect()
+    assert sorted((r.bp, r.n_sites) for r in found) == sorted((b, sum(p <= b for p in points)) for b in asked)

@@ -12,8 +12,8 @@ connected components.
 
 That goes in rounds, a few bands each. In a bucket one text of each component so far stands for it; these are paired
 with few of them, verified, and joined, so that a group of many copies takes as many pairs as it has texts. Last, all
-buckets that still hold several components are looked at whole, in blocks: every pair across components that may be
-similar is verified, the most similar first, until none is left. So no pair is left out for one that was not verified.
+buckets that still hold several components are looked at whole: every pair across components that may be similar is
+verified, in large buckets where blocks of their texts meet. So no pair is left out for one that was not verified.
 
 Texts with the same words are one before any of that. Samples, pairs and components stay in the cluster.
 """
@@ -40,10 +40,12 @@ BUCKETS, COUNTERS = 1 << 20, 1 << 12
 FREQUENT, FEW = 1 << 16, 8
 #: Estimated similarity from which a pair is verified: LEAST less 3.4 deviations of the estimate.
 MAYBE = 0.62
-#: Bands by round; texts that others of their bucket are paired with; texts in a block of a bucket.
-ROUNDS, PIVOTS, BLOCK = (range(1), range(1, 3), range(3, 7), range(7, BANDS)), 4, 2048
-#: Pairs that a text gives in each of its buckets grow by this factor from one last round to the next.
-GROWTH = 8
+#: Bands by round; texts that others of their bucket are paired with.
+ROUNDS, PIVOTS = (range(1), range(1, 5), range(5, BANDS)), 4
+#: Texts of a bucket whose pairs are verified one by one; of larger ones texts, and about bytes, in a block.
+SMALL, BLOCK, BLOCK_BYTES = 8, 2048, 8 << 20
+#: Shingles that are sampled at once.
+CHUNK = 2048
 #: Parts of a node with very many links; signatures kept by a worker, of about 1 kB each.
 SALTS, KEPT = 8, 20_000
 #: Stands for a null doc_id, before all others.
@@ -92,18 +94,21 @@ class Shingler:
     def hashes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.hash_of.__getitem__, words), np.uint64, len(words))
 
-    def shingles(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A text of fewer words is one shingle."""
+    def all_shingles(self, hashes: np.ndarray) -> np.ndarray:
+        """In order, repeated ones too. A text of fewer words is one shingle."""
         size = min(SHINGLE, len(hashes))
         n = len(hashes) - size + 1 if size else 0
         out = np.zeros(n, np.uint64)
         for k in range(size):
             out = _mix(out + hashes[k : n + k] * _FACTORS[k])
-        return np.unique(out, return_counts=True)
+        return out
+
+    def shingles(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.all_shingles(hashes), return_counts=True)
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(44)).astype(np.int64)  # the upper 20 bits
+    return (shingles >> np.uint64(44)).astype(np.int32)  # the upper 20 bits
 
 
 def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
@@ -155,22 +160,29 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One hash for each of SAMPLES consistent weighted samples of at least one shingle."""
-    best, kept = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
-    for start in range(0, len(shingles), 4096):
-        s = shingles[start : start + 4096]
-        log_w = np.log(weights[start : start + 4096])[:, None]
-        x = (s[:, None] ^ _SEEDS) * _ODD
+    best, kept, rows = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.arange(SAMPLES)
+    for start in range(0, len(shingles), CHUNK):
+        s = shingles[start : start + CHUNK]
+        log_w = np.log(weights[start : start + CHUNK])
+        x = s ^ _SEEDS[:, None]
+        x *= _ODD
         x ^= x >> _SHIFT
         x *= _ODD
-        r = _GAMMA[(x >> np.uint64(48)).astype(np.intp)]
-        beta = (x >> np.uint64(16) & np.uint64(65535)).astype(np.float32) * _UNIFORM
-        level = np.floor(log_w / r + beta)
-        log_a = _LOG_GAMMA[(x >> np.uint64(32) & np.uint64(65535)).astype(np.intp)] - r * (level - beta + 1)
-        least = log_a.argmin(axis=0)
-        columns = np.arange(SAMPLES)
-        value = log_a[least, columns]
+        # Of each 64 bits three times 16: for r, for the logarithm of c, for beta.
+        drawn = x.view(np.uint16).reshape(SAMPLES, len(s), 4)
+        r = _GAMMA.take(drawn[:, :, 3], mode="clip")
+        beta = drawn[:, :, 1] * _UNIFORM
+        level = log_w / r
+        level += beta
+        np.floor(level, out=level)
+        log_a = level - beta
+        log_a += np.float32(1)
+        log_a *= r
+        np.subtract(_LOG_GAMMA.take(drawn[:, :, 2], mode="clip"), log_a, out=log_a)
+        least = log_a.argmin(axis=1)
+        value = log_a[rows, least]
         better = value < best
-        hashed = _mix(s[least] + level[least, columns].astype(np.int64).astype(np.uint64) * _FACTORS[0])
+        hashed = _mix(s[least] + level[rows, least].astype(np.int64).astype(np.uint64) * _FACTORS[0])
         best, kept = np.where(better, value, best), np.where(better, hashed, kept)
     return kept
 
@@ -191,7 +203,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signatures(keyed: DataFrame, idf: Broadcast) -> DataFrame:
-    """A row for each document: row, doc, key, copy_a and copy_b (a 128-bit hash of its words), bands, brief.
+    """A row for each document: row, doc, key, n_bytes, copy_a and copy_b (a 128-bit hash of its words), bands, brief.
 
     Documents without words have no bands.
     """
@@ -207,8 +219,8 @@ def _signatures(keyed: DataFrame, idf: Broadcast) -> DataFrame:
             return bands_of(sampled).view(np.int64).tolist(), (sampled & np.uint64(255)).astype(np.uint8).tobytes()
 
         for batch in batches:
-            out = []
-            for text in _docs.utf8(batch.column(2)):
+            out, texts_here = [], _docs.utf8(batch.column(2))
+            for text in texts_here:
                 words = words_of(text)
                 if not words:
                     out.append((row, row, -1, None, None))  # like no other
@@ -227,16 +239,17 @@ def _signatures(keyed: DataFrame, idf: Broadcast) -> DataFrame:
                     pa.array(rows, pa.int64()),
                     batch.column(0),
                     batch.column(1),
+                    pa.array(map(len, texts_here), pa.int64()),
                     pa.array(a, pa.int64()),
                     pa.array(b, pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(brief, pa.binary()),
                 ],
-                names=["row", "doc", "key", "copy_a", "copy_b", "bands", "brief"],
+                names=["row", "doc", "key", "n_bytes", "copy_a", "copy_b", "bands", "brief"],
             )
 
     return keyed.mapInArrow(
-        run, "row long, doc long, key binary, copy_a long, copy_b long, bands array<long>, brief binary"
+        run, "row long, doc long, key binary, n_bytes long, copy_a long, copy_b long, bands array<long>, brief binary"
     )
 
 
@@ -251,7 +264,7 @@ def star_pairs(rows: np.ndarray, briefs: np.ndarray, roots: np.ndarray) -> list[
     """Pairs (row, row) that may join the components met in one bucket, one text standing for each: linear in number.
 
     The text that has most of the commonest samples is paired with all that may be similar to it; of the others again,
-    PIVOTS times at most. What that leaves apart `cross_pairs` looks at.
+    PIVOTS times at most. What that leaves apart `small_pairs` and `block_links` look at.
     """
     _, rest = np.unique(roots, return_index=True)
     found = []
@@ -272,29 +285,40 @@ def star_pairs(rows: np.ndarray, briefs: np.ndarray, roots: np.ndarray) -> list[
     return found
 
 
-def cross_pairs(left: tuple, right: tuple | None, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs worth verifying between two blocks of a bucket, or within one, and whether any are left.
+def small_pairs(rows: np.ndarray, briefs: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs of a small bucket that may be similar, across components."""
+    found = []
+    for k in range(1, len(rows)):
+        near = (roots[:k] != roots[k]) & (_alike(briefs[:k], briefs[k]) >= MAYBE * SAMPLES)
+        found += [(int(rows[k]), int(rows[j])) for j in np.flatnonzero(near)]
+    return found
+
 
-    A block: rows, briefs, roots, failed. A text of the left one is paired with at most `most` of the other (or of
-    those before it), the most similar first: not with those of its own root, nor with those rows in its `failed`.
+def block_links(rows: np.ndarray, briefs: np.ndarray, roots: np.ndarray, vectors: list[tuple], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, row) between texts of `left` and of `right` (places of rows), as many as join their components.
+
+    Every pair across components that may be similar is verified, on the texts' shingles and weights in `vectors`.
     """
-    rows, briefs, roots, failed = left
-    within = right is None
-    other_rows, other_briefs, other_roots, _ = left if within else right
-    found, more = [], False
-    for k in range(len(rows)):
-        stop = k if within else len(other_rows)
-        near = np.flatnonzero(other_roots[:stop] != roots[k])
+    sizes = np.array([len(s) for s, _ in vectors])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    distinct, where = np.unique(np.concatenate([s for s, _ in vectors]), return_inverse=True)
+    weights = np.concatenate([w for _, w in vectors])
+    total = np.add.reduceat(weights, starts, dtype=np.float64)
+    own, roots, found = np.zeros(len(distinct), np.float32), roots.copy(), []
+    for k in left:
+        other = right[roots[right] != roots[k]]
+        near = other[_alike(briefs[other], briefs[k]) >= MAYBE * SAMPLES]
         if not len(near):
             continue
-        same = _alike(other_briefs[near], briefs[k])
-        fit = same >= MAYBE * SAMPLES
-        if failed[k] and fit.any():
-            fit &= ~np.isin(other_rows[near], failed[k])
-        near, same = near[fit], same[fit]
-        found += ((int(rows[k]), int(other_rows[j])) for j in near[np.argsort(-same, kind="stable")[:most]])
-        more |= len(near) > most
-    return found, more
+        mine = slice(starts[k], starts[k] + sizes[k])
+        own[where[mine]] = weights[mine]
+        common = np.add.reduceat(np.minimum(own[where], weights), starts, dtype=np.float64)[near]
+        own[where[mine]] = 0
+        for j in near[common >= LEAST * (total[k] + total[near] - common)]:
+            if roots[j] != roots[k]:
+                found.append((int(rows[k]), int(rows[j])))
+                roots[roots == roots[j]] = roots[k]
+    return found
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -332,85 +356,110 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(found)
 
 
-def _cross(most: int):
-    """(band, one, two, block, row, brief, root, failed), sorted by the first three, to pairs; one of nulls if some are left."""
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, row, brief, root) of small buckets, sorted by band, to pairs."""
+    found = []
+    for _, (rows, briefs, roots) in _groups(batches, 1):
+        found += small_pairs(np.array(rows, np.int64), _briefs(briefs), np.array(roots, np.int64))
+        if len(found) > 10_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_over = False
-        for (_, one, two), (blocks, rows, briefs, roots, failed) in _groups(batches, 3):
-            block, rows, briefs, roots = np.array(blocks), np.array(rows, np.int64), _briefs(briefs), np.array(roots, np.int64)
 
-            def part(which):
-                k = np.flatnonzero(block == which)
-                return rows[k], briefs[k], roots[k], [failed[j] for j in k]
+def _cross(idf: Broadcast):
+    """(band, one, two, block, row, brief, root, text), sorted by the first three, to links."""
 
-            found, more = cross_pairs(part(one), None if one == two else part(two), most)
-            left_over |= more
-            for start in range(0, len(found), 10_000):
-                yield _pairs(found[start : start + 10_000])
-        yield _pairs([(None, None)] * left_over)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = _weigher(idf)
+        for (_, one, two), (blocks, rows, briefs, roots, texts) in _groups(batches, 3):
+            if len(set(roots)) > 1:
+                block = np.array(blocks)
+                sides = np.flatnonzero(block == one), np.flatnonzero(block == two)
+                yield _pairs(block_links(np.array(rows, np.int64), _briefs(briefs), np.array(roots, np.int64), [vector(t) for t in texts], *sides))
 
     return run
 
 
 def _buckets(singles: DataFrame) -> DataFrame:
-    """nr, band, size, row, brief: texts of each band that two or more share.
+    """nr, band, size, row, brief, n_bytes: texts of each band that two or more share.
 
     Sizes are summed before they move, so that the bands of single texts are dropped by a join that can be split.
     """
     banded = singles.select(F.posexplode("bands").alias("nr", "band"), "row")
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = banded.join(sizes, "band")
-    return shared.join(singles.select("row", "brief"), "row").select("nr", "band", "size", "row", "brief")
+    return shared.join(singles.select("row", "brief", "n_bytes"), "row").select("nr", "band", "size", "row", "brief", "n_bytes")
 
 
 def _with_roots(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return buckets.join(roots.toDF("row", "_root"), "row", "left").withColumn("root", F.coalesce("_root", "row")).drop("_root")
 
 
-def _block(n, salt: int = 0):
-    """A number below n/BLOCK, rounded up, for each row."""
-    return F.pmod(F.xxhash64("row", F.lit(salt)), F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")).cast("int")
+def _blocks(n, n_bytes=0):
+    """How many blocks so many texts are dealt out to."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil((F.lit(0) + n_bytes) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _block(blocks):
+    """One of so many blocks for each row."""
+    return F.pmod(F.xxhash64("row", "band"), blocks.cast("long")).cast("int")
 
 
 def _star_round(buckets: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
-    dealt = _with_roots(buckets, roots).select("band", _block(F.col("size")).alias("block"), "row", "brief", "root")
+    dealt = _with_roots(buckets, roots).select("band", _block(_blocks(F.col("size"))).alias("block"), "row", "brief", "root")
     sorted_ = dealt.repartition(parts, "band", "block").sortWithinPartitions("band", "block", "row")
     return sorted_.mapInArrow(_star, "x long, y long")
 
 
-def _cross_round(buckets: DataFrame, roots: DataFrame, failed: DataFrame, most: int, parts: int) -> DataFrame:
-    """Candidates left in buckets of two components or more.
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets that hold two components or more: with size, and whether they are of the largest (`is_main`), and
+    into how many blocks those and the others go (`main_blocks`, `rest_blocks`)."""
+    rooted = _with_roots(buckets, roots)
+    counts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
+    mixed = counts.groupBy("band").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), F.max(F.struct("n", "root", "b")).alias("_main"), F.count("*").alias("_k")).where("_k > 1")
+    main = F.col("_main")
+    mixed = mixed.select(
+        "band", main["root"].alias("_root"), _blocks(main["n"], main["b"]).alias("main_blocks"), _blocks(F.col("_n") - main["n"], F.col("_b") - main["b"]).alias("rest_blocks")
+    )
+    return rooted.join(mixed, "band").withColumn("is_main", F.col("root") == F.col("_root")).drop("_root")
+
+
+def _small_round(mixed: DataFrame, parts: int) -> DataFrame:
+    dealt = mixed.where(F.col("size") <= SMALL).select("band", "row", "brief", "root").repartition(parts, "band").sortWithinPartitions("band", "row")
+    return dealt.mapInArrow(_few, "x long, y long")
+
+
+def _large_round(mixed: DataFrame, texts: DataFrame, idf: Broadcast, parts: int) -> DataFrame:
+    """Links in large buckets, verified where their texts meet.
 
     A bucket's largest component needs no pairs of its own, so its blocks meet those of the other texts only.
     """
-    rooted = _with_roots(buckets, roots)
-    counts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = mixed.select(F.col("band"), F.col("main.root").alias("_main"), F.col("main.n").alias("_n"), (F.col("size") - F.col("main.n")).alias("_rest"))
-    rows = rooted.drop("size").join(mixed, "band").withColumn("_is", F.col("root") == F.col("_main"))
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    own = F.when(F.col("_is"), blocks("_rest") + _block(F.col("_n"))).otherwise(_block(F.col("_rest")))
-    met = F.when(F.col("_is"), F.sequence(F.lit(0), blocks("_rest") - 1)).otherwise(F.sequence(F.lit(0), blocks("_rest") + blocks("_n") - 1))
-    spread = rows.withColumn("block", own).withColumn("_met", F.explode(met))
-    both = failed.union(failed.select("y", "x")).toDF("row", "y")
-    spread = spread.join(both.groupBy("row").agg(F.collect_list("y").alias("failed")), "row", "left")
-    dealt = spread.select("band", F.least("block", "_met").alias("one"), F.greatest("block", "_met").alias("two"), "block", "row", "brief", "root", "failed")
+    rest, main = F.col("rest_blocks"), F.col("main_blocks")
+    own = F.when(F.col("is_main"), rest + _block(main)).otherwise(_block(rest))
+    met = F.sequence(F.lit(0), F.when(F.col("is_main"), rest - 1).otherwise(rest + main - 1))
+    spread = mixed.where(F.col("size") > SMALL).withColumn("block", own).withColumn("_met", F.explode(met)).join(texts, "row")
+    dealt = spread.select("band", F.least("block", "_met").alias("one"), F.greatest("block", "_met").alias("two"), "block", "row", "brief", "root", "text")
     sorted_ = dealt.repartition(parts, "band", "one", "two").sortWithinPartitions("band", "one", "two", "row")
-    return sorted_.mapInArrow(_cross(most), "x long, y long")
+    return sorted_.mapInArrow(_cross(idf), "x long, y long")
 
 
 # --- Verification and components -------------------------------------------------------------------------------------
 
 
-def _verify(idf: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, table = Shingler(), idf.value
+def _weigher(idf: Broadcast):
+    shingler, table = Shingler(), idf.value
+
+    def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+        shingles, times = shingler.shingles(shingler.hashes(words_of((text or "").encode())))
+        return shingles, times.astype(np.float32) * table[_bucket(shingles)]
 
-        def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            shingles, times = shingler.shingles(shingler.hashes(words_of((text or "").encode())))
-            return shingles, times.astype(np.float32) * table[_bucket(shingles)]
+    return vector
 
+
+def _verify(idf: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = _weigher(idf)
         text, known = None, None
         for batch in batches:
             x, y, left, right = (batch.column(k).to_pylist() for k in range(4))
@@ -426,9 +475,10 @@ def _verify(idf: Broadcast):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
-    """x, y and similar of each pair of rows (x, y), whichever way round it came."""
-    once = pairs.withColumns({"_a": F.least("x", "y"), "_b": F.greatest("x", "y")}).dropDuplicates(["_a", "_b"]).select("x", "y")
+def _verified(pairs: DataFrame, failed: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """x, y and similar of each pair of rows (x, y) that isn't in `failed` (a, b), whichever way round it came."""
+    ends = {"a": F.least("x", "y"), "b": F.greatest("x", "y")}
+    once = pairs.withColumns(ends).dropDuplicates(["a", "b"]).join(failed, ["a", "b"], "left_anti").select("x", "y")
     left = once.join(texts.toDF("x", "left"), "x")
     both = left.join(texts.toDF("y", "right"), "y")
     return both.select("x", "y", "left", "right").mapInArrow(_verify(idf), "x long, y long, similar boolean")
@@ -515,26 +565,17 @@ def classify(docs: DataFrame) -> DataFrame:
     texts = keyed.join(involved, ["doc", "key"]).withColumn("_n", F.row_number().over(again)).where("_n = 1").select("row", "text")
     texts = scratch(texts, "texts")
     roots = spark.createDataFrame([], "node long, root long")
-    failed = spark.createDataFrame([], "x long, y long")
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal roots, failed
-        tried = scratch(_verified(pairs, texts, idf), "tried")
-        failed = failed.union(tried.where("not similar").select("x", "y"))
-        links = tried.where("similar")
-        if not links.isEmpty():
-            roots = _joined(roots, links, scratch)
-
+    failed = spark.createDataFrame([], "a long, b long")
     for bands in ROUNDS:
-        settle(_star_round(buckets.where(F.col("nr").isin(list(bands))), roots, parts))
-    most = 4
-    while True:
-        found = scratch(_cross_round(buckets, roots, failed, most, parts), "found")
-        settle(found.where("x is not null"))
-        if found.where("x is null").isEmpty():
-            break
-        most *= GROWTH
-    scratch.drop("buckets", "texts", "tried", "found", "edges")
+        pairs = _star_round(buckets.where(F.col("nr").isin(list(bands))), roots, parts)
+        tried = scratch(_verified(pairs, failed, texts, idf), "tried")
+        failed = failed.union(tried.where("not similar").select(F.least("x", "y"), F.greatest("x", "y")))
+        roots = _joined(roots, tried.where("similar"), scratch)
+    mixed = scratch(_mixed(buckets, roots), "mixed")
+    tried = _verified(_small_round(mixed, parts), failed, texts, idf).where("similar").select("x", "y")
+    links = scratch(tried.union(_large_round(mixed, texts, idf, parts)), "tried")
+    roots = _joined(roots, links, scratch)
+    scratch.drop("buckets", "texts", "tried", "mixed", "edges")
     classes = (
         copies.join(roots, "node", "left")
         .select(F.coalesce("root", "node").alias("root"), "n", "first")

@@ -324,28 +324,41 @@ def test_near_duplicates_against_brute_force(spark, prose, docs):
     assert kept.schema == docs.schema and kept.count() == len(ODD) - 1
 
 
-def _block(*texts):
-    """rows, briefs, roots, failed of texts (row, brief, root, failed)."""
-    rows, briefs, roots, failed = zip(*texts)
-    return np.array(rows), np.array(briefs, np.uint8), np.array(roots), list(failed)
-
-
-def test_near_duplicate_pairs_of_a_bucket_are_tried_until_one_passes():
-    rng = np.random.Generator(np.random.PCG64(1))
-    base = rng.integers(0, 256, near_duplicates.SAMPLES).astype(np.uint8)
-
-    def changed(n):  # the last n samples differ
-        return np.concatenate([base[: len(base) - n], base[len(base) - n :] ^ np.uint8(1)])
-
-    a, b, x = base, changed(5), changed(9)  # x is most like b, and still like a
-    cross = near_duplicates.cross_pairs
-    assert cross(_block((1, a, 1, None), (2, b, 2, None), (3, x, 3, None)), None, 1) == ([(2, 1), (3, 2)], True)
-    # (3, 2) failed, whatever else b is linked to: a is next
-    assert cross(_block((1, a, 1, None), (2, b, 1, None), (3, x, 3, [2])), None, 1) == ([(3, 1)], False)
-    assert cross(_block((1, a, 1, None), (2, b, 1, None), (3, x, 3, [2, 1])), None, 1) == ([], False)
-    assert cross(_block((1, a, 1, None), (2, b, 1, None), (3, x, 1, None)), None, 1) == ([], False)
-    assert cross(_block((3, x, 3, None)), _block((1, a, 1, None), (2, b, 1, None)), 1) == ([(3, 2)], True)
-    assert sorted(cross(_block((3, x, 3, None)), _block((1, a, 1, None), (2, b, 1, None)), 9)[0]) == [(3, 1), (3, 2)]
+def test_near_duplicate_blocks_against_brute_force():
+    """Links of a large bucket join what all similar pairs join, within a block and between two."""
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(500)]
+    base = rng.choices(words, k=120)
+    vector = near_duplicates._weigher(type("Sent", (), {"value": np.full(near_duplicates.BUCKETS, 2, np.float32)}))
+    vectors = []
+    for _ in range(60):
+        text = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 9)):
+            text[k] = rng.choice(words)
+        vectors.append(vector(" ".join(text)))
+    briefs = np.array([(near_duplicates.samples(*v) & np.uint64(255)).astype(np.uint8) for v in vectors])
+    rows = np.arange(60) + 100
+
+    def joined(links, start):
+        comp = list(start)
+        for x, y in links:
+            old, new = comp[y - 100], comp[x - 100]
+            comp = [new if c == old else c for c in comp]
+        return {tuple(k for k in range(60) if comp[k] == c) for c in comp}
+
+    for left, right in ((range(60), range(60)), (range(20), range(20, 60))):
+        start = np.arange(60)
+        start[20:30] = 20
+        every = [
+            (100 + a, 100 + b)
+            for a in left
+            for b in right
+            if a != b and near_duplicates._alike(briefs[[a]], briefs[b])[0] >= near_duplicates.MAYBE * near_duplicates.SAMPLES and near_duplicates.similarity(vectors[a], vectors[b]) >= 0.8
+        ]
+        links = near_duplicates.block_links(rows, briefs, start, vectors, np.array(left), np.array(right))
+        assert set(links) <= set(every) and joined(links, start) == joined(every, start) and 3 < len(links) < 60
+    pairs = near_duplicates.small_pairs(rows[:6], briefs[:6], np.array([1, 1, 2, 2, 3, 3]))
+    assert all((a - 100) // 2 != (b - 100) // 2 for a, b in pairs)
 
 
 def test_near_duplicate_pairs_of_a_first_round_are_as_many_as_texts():

@@ -293,6 +293,70 @@ def test_substrings_against_brute_force(spark, prose, docs):
     assert substrings.cut(docs).count() == len(ODD)
 
 
+def _removed(rows):
+    """Brute force: rows (doc_id, text) in order to (doc_id, words, removed, what is kept)."""
+    seen, want = set(), []
+    for i, text in rows:
+        words, gone = _words(text), set()
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                gone.update(range(k, k + 20))
+            seen.add(window)
+        want.append((i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+    return want
+
+
+@pytest.mark.parametrize("chunk", [30, 400_000])
+def test_substrings_of_rows_that_share_ids(spark, monkeypatch, chunk):
+    """Null and equal doc_ids, few bits to tell texts apart by, texts of unequal length, rows settled early or late."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        own = [f"w{rng.randrange(10_000)}" for _ in range(rng.choice([0, 4, 25, 300]))]
+        at = rng.randrange(len(own) + 1)
+        own[at:at] = passage[rng.randrange(20) :] if k % 3 else passage
+        rows.append((None if k % 2 else 5, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = {(r.doc_id, r.text): (r.doc, r.key, r.tie) for r in substrings._keyed(df).collect()}
+    want = _removed(sorted(rows, key=lambda r: order[r]))
+    found = substrings.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert collections.Counter(map(tuple, found)) == collections.Counter(want) and sum(w[2] for w in want) > 1500
+
+
+def test_substrings_are_cut_out_of_the_text_as_it_is(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(1, f"one\n{passage}\n\nend", 0, "a"), (2, f"two\n\nlines  {passage}\n\nlast  word\n", 0, "b"), (3, passage + " \n", 0, "c"), (4, None, None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, __marks string")
+    found = {r.doc_id: r for r in substrings.cut(df).collect()}
+    assert found[1].text == rows[0][1] and found[2].text == "two\n\nlines  last  word\n" and found[3].text == "" and found[4].text is None
+    assert found[2].n_chars == len(found[2].text) and found[1].n_chars == 0 and [found[k]["__marks"] for k in range(1, 5)] == list("abcd")
+
+
+def test_substring_spans_are_verified_at_their_source():
+    import pyarrow as pa
+
+    cut = substrings._cutter()
+    text = " ".join(f"w{k}" for k in range(40)).encode()
+    right, wrong = substrings._digest(text.split()[5:30]), substrings._digest(text.split()[6:31])
+    for digest, removed in ((right, 25), (wrong, 0)):
+        marks = pa.array([[{"start": 5, "n": 25, "one": digest[0], "two": digest[1]}]])
+        _, (mask,) = cut([(1, 2, removed)], [text], marks)
+        assert mask.sum() == removed
+
+
+def test_substring_repeats_in_a_row_make_one_span():
+    import pyarrow as pa
+
+    place = lambda low, run, tie=7: int(substrings._place(np.int64(tie), np.int64(low), run))
+    again = [(place(13, 5), 1, 2, place(3, 5, 9)), (place(3, 10), 1, 2, place(33, 10, 9)), (place(18, 6), 1, 2, place(8, 6, 9)), (place(24, 1), 1, 3, place(14, 1, 9))]
+    batch = pa.RecordBatch.from_pylist([{"doc": 0, "key": 5, "tie": 7, "again": [dict(zip(("place", "sdoc", "skey", "splace"), a)) for a in again]}])
+    (found,) = substrings._compacted([batch])
+    assert sorted(tuple(r.values())[3:] for r in found.to_pylist()) == [(3, 29, 1, 2, 9, 33), (13, 30, 1, 2, 9, 3), (24, 20, 1, 3, 9, 14)]
+
+
 def test_near_duplicates_against_brute_force(spark, prose, docs):
     df, rows = prose
     shingler = near_duplicates.Shingler()

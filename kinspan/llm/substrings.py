@@ -37,7 +37,7 @@ SPREAD = WINDOW - EDGE + 1  # edges in a window, so windows in a path at most
 #: tie-breaker and KEY_BITS more of a hash of its text, besides its doc_id.
 TIE_BITS, WORD_BITS, RUN_BITS, KEY_BITS = 28, 31, 4, 60
 #: Rows that a task settles at once.
-CHUNK = 400_000
+CHUNK = 200_000
 #: Stands for a null doc_id, before all others.
 NULL = -(1 << 63)
 ROW = ("doc", "key", "tie")
@@ -133,9 +133,9 @@ class _Settler:
         self.parts.append([np.asarray(c).astype(np.int64) for c in columns])
         self.size += len(columns[0])
         if self.size >= CHUNK:
-            yield self.flush()
+            yield from self.flush()
 
-    def flush(self) -> pa.RecordBatch:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         anchor, path, doc, key, place = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else [np.empty(0, np.int64)] * 5
         self.parts, self.size = [], 0
         order = np.lexsort((place, key, doc, path, anchor))
@@ -149,7 +149,8 @@ class _Settler:
         source = first[keep]
         columns = [np.where(again, key[keep], anchor[keep]), np.where(again, 0, path[keep]), doc[keep], key[keep], place[keep]]
         columns = [pa.array(c, pa.int64()) for c in columns] + [pa.array(c[source], pa.int64(), mask=~again) for c in (doc, key, place)]
-        return pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in _PATHS.split(", ")])
+        whole = pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in _PATHS.split(", ")])
+        yield from (whole.slice(start, 10_000) for start in range(0, max(1, whole.num_rows), 10_000))
 
 
 def _path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def _path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = np.sort(order[keep])
         place = _place(ties[doc[k]], low[k] - words.starts[doc[k]], run[k])
         yield from settler.add(anchor[k].view(np.int64), path[k].view(np.int64), doc_ids[doc[k]], keys[doc[k]], place)
-    yield settler.flush()
+    yield from settler.flush()
 
 
 def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -194,7 +195,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = _mix(words.content(at, at + WINDOW) + (anchor_at[k] - at).astype(np.uint64) * _ODD)
         place = _place(ties[row], at - words.starts[row], 1)
         yield from settler.add(anchor[k].view(np.int64), content.view(np.int64), doc_ids[row], keys[row], place)
-    yield settler.flush()
+    yield from settler.flush()
 
 
 _SPANS = "doc long, key long, tie long, start long, n long, sdoc long, skey long, stie long, sstart long"
@@ -319,6 +320,11 @@ def _keyed(docs: DataFrame, names: tuple[str, ...] = ROW) -> DataFrame:
     )
 
 
+def _never_null(df: DataFrame, n: int) -> DataFrame:
+    """The first n columns, of longs, as columns that plainly hold no null, so that no join filters below an exchange."""
+    return df.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in df.columns[:n]), *df.columns[n:])
+
+
 def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc, key, tie and text, dealt out by row; and doc, key, tie and marks: spans that start earlier elsewhere, with the
     digest of their source."""
@@ -338,13 +344,13 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return ranked.withColumn("source", source).withColumn("tie", F.shiftright("place", WORD_BITS + RUN_BITS))
 
     again = F.when(F.col("source").isNotNull(), F.struct("place", F.col("source.doc").alias("sdoc"), F.col("source.key").alias("skey"), F.col("source.place").alias("splace")))
-    paths = keyed.mapInArrow(_path_rows, _PATHS).repartition(parts, "anchor")
+    paths = _never_null(keyed.mapInArrow(_path_rows, _PATHS), 5).repartition(parts, "anchor")
     own = lambda c: F.when(F.col("skey").isNull(), F.col(c))
     # Each column takes part, so that this and the join read the same exchange.
     anchors = (
         paths.groupBy("anchor")
-        .agg(F.count(own("doc")).alias("_n"), F.min(own("path")).alias("_low"), F.max(own("path")).alias("_high"), F.count("key").alias("_k"), F.count("place").alias("_p"), F.count("sdoc").alias("_d"), F.count("splace").alias("_s"))
-        .where("_n > 1 and _k > 1 and _p > 1 and _d >= 0 and _s >= 0")
+        .agg(F.count(own("doc")).alias("_n"), F.min(own("path")).alias("_low"), F.max(own("path")).alias("_high"), F.max("key").alias("_k"), F.max("place").alias("_p"), F.count("sdoc").alias("_d"), F.count("splace").alias("_s"))
+        .where("_n > 1 and _k is not null and _p is not null and _d >= 0 and _s >= 0")
         .select(F.col("anchor").alias("_anchor"), (F.col("_low") < F.col("_high")).alias("branches"))
     )
     met = sourced(paths.join(anchors, paths.anchor == anchors._anchor, "left").where("skey is not null or _anchor is not null"))
@@ -353,13 +359,15 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = keyed.repartition(parts, *ROW)
     # Both lists take part in both, so that they read the same exchange.
     opened = by_doc.where((F.size("open") > 0) & (F.size("again") >= 0)).select(*ROW, "open")
-    windows = whole.join(opened, list(ROW)).select(*ROW, "text", "open").mapInArrow(_window_rows, _PATHS).repartition(parts, "anchor", "path")
+    windows = whole.join(opened, list(ROW)).select(*ROW, "text", "open").mapInArrow(_window_rows, _PATHS)
+    windows = _never_null(windows, 5).repartition(parts, "anchor", "path")
     repeated = sourced(windows).where("source is not null").groupBy(*ROW).agg(F.collect_list(again).alias("again"))
     every = by_doc.where((F.size("again") > 0) & (F.size("open") >= 0)).select(*ROW, "again").unionByName(repeated)
-    spans = every.groupBy(*ROW).agg(F.flatten(F.collect_list("again")).alias("again")).mapInArrow(_compacted, _SPANS).repartition(parts, *ROW)
+    spans = every.groupBy(*ROW).agg(F.flatten(F.collect_list("again")).alias("again")).mapInArrow(_compacted, _SPANS)
+    spans = _never_null(spans, 9).repartition(parts, *ROW)
     source = ["sdoc", "skey", "stie"]
-    asked = spans.groupBy(*source, "sstart", "n").agg(F.count("start").alias("_a"), F.count("doc").alias("_b"), F.count("key").alias("_c"), F.count("tie").alias("_d"))
-    asked = asked.where("_a > 0 and _b > 0 and _c > 0 and _d > 0").groupBy(*source).agg(F.collect_list(F.struct("sstart", "n")).alias("spans"))
+    asked = spans.groupBy(*source, "sstart", "n").agg(*(F.max(c).alias(f"_{c}") for c in ("start", *ROW)))
+    asked = asked.where("_start is not null and _doc is not null and _key is not null and _tie is not null").groupBy(*source).agg(F.collect_list(F.struct("sstart", "n")).alias("spans"))
     sources = whole.join(asked.toDF(*ROW, "spans"), list(ROW)).select(*ROW, "text", "spans")
     told = sources.mapInArrow(_source_rows, "sdoc long, skey long, stie long, sstart long, n long, one long, two long")
     marks = spans.join(told, [*source, "sstart", "n"]).groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "one", "two")).alias("marks"))

@@ -307,7 +307,7 @@ def _removed(rows):
     return want
 
 
-@pytest.mark.parametrize("chunk", [30, 400_000])
+@pytest.mark.parametrize("chunk", [30, 200_000])
 def test_substrings_of_rows_that_share_ids(spark, monkeypatch, chunk):
     """Null and equal doc_ids, few bits to tell texts apart by, texts of unequal length, rows settled early or late."""
     monkeypatch.setattr(substrings, "CHUNK", chunk)
@@ -335,6 +335,17 @@ def test_substrings_are_cut_out_of_the_text_as_it_is(spark):
     assert found[2].n_chars == len(found[2].text) and found[1].n_chars == 0 and [found[k]["__marks"] for k in range(1, 5)] == list("abcd")
 
 
+def test_substrings_read_each_text_pass_once(spark, docs):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = substrings.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for name in ("_path_rows", "_window_rows", "_compacted", "_source_rows", "_kept_rows"):
+        assert plan.count(f"MapInArrow {name}") == 1, name
+
+
 def test_substring_spans_are_verified_at_their_source():
     import pyarrow as pa
 

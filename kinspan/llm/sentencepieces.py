@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding that keep each piece's place in the original bytes.
 
-Normalising goes through the model's compiled character map, a double-array trie: at each place the longest prefix
-that the map knows is replaced, and every normalised byte keeps the original offset it came from. The normalised
-text falls into segments, each a run of space marks with what follows it. No piece has a space mark after another
-character, so no merge crosses a segment's start: each distinct segment is encoded once by the library (with an
-identity normaliser) and kept. Pieces are projected through the alignment to spans of the original bytes; decoding
-joins the pieces' surfaces.
+Normalising goes through the model's compiled character map, a double-array trie: at each place where a known prefix
+can start the longest one is replaced, what lies between stays, and every normalised byte keeps the original offset it
+came from. The normalised text falls into segments, each a run of space marks with what follows it. No piece has a
+space mark after another character, so no merge crosses a segment's start: each distinct segment is encoded once by the
+library (with an identity normaliser) and kept. Pieces are projected through the alignment to spans of the original
+bytes; decoding joins the pieces' surfaces.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,12 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from kinspan.llm import _docs
 
-SPACE, MARK = " ", "▁"
+MARK = "▁"
 _MARK = MARK.encode()
-#: Starts a segment whose own first mark belongs to the text; never part of UTF-8.
+#: Starts the key of a segment that is more than a mark and what follows it; never part of UTF-8.
 OWN = b"\xff"
-#: Segments kept by a worker.
-KEPT = 150_000
+#: Bytes of segments that a worker keeps, and of one that is kept.
+KEPT, LONGEST = 64 << 20, 256
 _SEGMENTS = re.compile("▁*[^▁]+|▁+")
 SCHEMA = "doc_id long, n_tokens long, ids string, span_ends binary, decoded string"
 
@@ -40,6 +41,23 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = array("I", blob[4 : 4 + size])
         self.replacements = blob[4 + size :]
+        firsts = [b for b in range(256) if self._known(b)]
+        self._start = re.compile(b"[" + b"".join(b"\\x%02x" % b for b in firsts) + b"]") if firsts else None
+
+    def _known(self, first: int) -> bool:
+        """Whether a known prefix can start with this byte."""
+        if not self.units:
+            return False
+        at = (self.units[0] >> 10 << ((self.units[0] & 512) >> 6)) ^ first
+        return at < len(self.units) and self.units[at] & 0x800000FF == first
+
+    def hits(self, text: bytes) -> Iterator[tuple[int, int, bytes]]:
+        """Place, length and replacement of each longest known prefix, from the left."""
+        done = 0
+        for m in self._start.finditer(text) if self._start else ():
+            if m.start() >= done and (hit := self.longest(text, m.start())) is not None:
+                done = m.start() + hit[1]
+                yield m.start(), hit[1], hit[0]
 
     def longest(self, text: bytes, at: int) -> tuple[bytes, int] | None:
         """What replaces the longest known prefix of text[at:], and that prefix's length."""
@@ -61,12 +79,6 @@ class CharacterMap:
         return self.replacements[start : self.replacements.index(0, start)], length
 
 
-def _character(text: bytes, at: int) -> int:
-    """The length of the UTF-8 character at `at`."""
-    lead = text[at]
-    return 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-
-
 class Encoder:
     def __init__(self, path: str):
         proto = model_pb2.ModelProto()
@@ -79,7 +91,6 @@ class Encoder:
             raise ValueError("models with space as a suffix aren't supported")
         if any(p.type == p.USER_DEFINED for p in proto.pieces):
             raise ValueError("models with user-defined pieces aren't supported")
-        self.plain = not self.map.units and self.dummy and self.escape and not self.squeeze
         #: Whether segments can be encoded each on its own.
         self.apart = proto.trainer_spec.model_type == proto.trainer_spec.BPE and not any(
             MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type == p.NORMAL
@@ -97,147 +108,100 @@ class Encoder:
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.kept: dict[bytes, tuple] = {}
+        self.held = 0
 
-    def normalise(self, text: bytes) -> tuple[bytes, array]:
+    def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the original offset."""
-        out, origin, at = bytearray(), array("q"), 0
-        if not text:
-            return b"", array("q", [0])
-
-        def step(at: int) -> tuple[bytes, int]:
-            if (hit := self.map.longest(text, at)) is not None:
-                return hit
-            length = _character(text, at)
-            return text[at : at + length], length
-
+        parts, origins, fixed, done, size = [], [], [], 0, 0
+
+        def put(part: bytes, origin: np.ndarray) -> None:
+            nonlocal size
+            parts.append(part)
+            origins.append(origin)
+            size += len(part)
+
+        for at, length, new in self.map.hits(text):
+            if new == text[at : at + length]:
+                continue  # each byte keeps its own place
+            put(text[done:at], np.arange(done, at))
+            fixed.append((size + len(new) - len(new.lstrip(b" ")), size + len(new)))
+            put(new, np.full(len(new), at))
+            done = at + length
+        put(text[done:], np.arange(done, len(text)))
+        raw, origin, end = b"".join(parts), np.concatenate(origins), len(text)
         if self.squeeze:
-            while at < len(text):
-                piece, length = step(at)
-                if piece != b" ":
-                    break
-                at += length
-            if at == len(text):
-                return b"", array("q", [at])
-        space = _MARK if self.escape else b" "
-        if self.dummy:
-            out += space
-            origin.extend([at] * len(space))
-        after_space = self.squeeze
-        while at < len(text):
-            piece, length = step(at)
-            same = piece == text[at : at + length]  # then each byte keeps its own place
-            if after_space:
-                piece = piece.lstrip(b" ")
-            if piece:
-                for k, byte in enumerate(piece):
-                    put = space if byte == 32 else bytes([byte])
-                    out += put
-                    origin.extend([at + k * same] * len(put))
-                after_space = piece.endswith(b" ")
-            at += length
-            if not self.squeeze:
-                after_space = False
-        if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :]
-                at = origin[-len(space)]
-                del origin[-len(space) :]
-        origin.append(at)
-        return bytes(out), origin
-
-    def pieces_of(self, segment: str) -> tuple[list[int], list[int]]:
-        """Ids, and sizes in normalised bytes, of a normalised text."""
-        ids = self.library.encode(segment)
-        sizes = [self.sizes[i] for i in ids]
-        if 0 in sizes:
-            parts = self.library.encode(segment, return_type="proto").pieces
-            sizes = [len(p.surface.encode()) for p in parts]
-        return ids, sizes
-
-    def encode(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Ids, and the end of each piece in the original bytes: the way for every model."""
-        normal, origin = self.normalise(text)
-        ids, ends, at = [], [], 0
-        string = normal.decode("utf-8", "replace")
-        for segment in _SEGMENTS.findall(string) if self.apart else [string]:
-            found, sizes = self.pieces_of(segment)
-            ids += found
-            for size in sizes:
-                at += size
-                ends.append(origin[at])
-        return ids, ends
-
-    def decode(self, ids: list[int]) -> bytes:
-        joined = b"".join(self.surfaces[i] for i in ids)
-        if (self.dummy or self.squeeze) and joined[:1] == b" ":
-            joined = joined[1:]
-        return joined.decode("utf-8", "replace").encode()
-
-    # The way for models without a character map, where each segment's projection is known beforehand.
-
-    def segments(self, text: bytes) -> list[bytes]:
-        """Keys: what follows a segment's first space; OWN and the segment where that isn't a space."""
-        if not text:
+            space = np.frombuffer(raw, np.uint8) == 32
+            gone = space & np.concatenate([[True], space[:-1]])
+            for start, stop in fixed:  # spaces inside a replacement stay
+                gone[start:stop] = False
+            kept = ~gone
+            if len(last := np.flatnonzero(kept & space)) and last[-1] == np.flatnonzero(kept)[-1]:
+                end = int(origin[last[-1]])
+                kept[last[-1]] = False
+            raw, origin = np.frombuffer(raw, np.uint8)[kept].tobytes(), origin[kept]
+        if not raw:
+            return b"", np.array([end])
+        mark = _MARK if self.escape else b" "
+        if self.escape:
+            origin = np.repeat(origin, np.where(np.frombuffer(raw, np.uint8) == 32, len(mark), 1))
+            raw = raw.replace(b" ", mark)
+        before = len(mark) if self.dummy else 0
+        return mark * self.dummy + raw, np.concatenate([np.full(before, origin[0]), origin, [end]])
+
+    def segments(self, normal: bytes) -> list[bytes]:
+        """Keys: what follows a segment's one mark; OWN and the segment where that isn't what starts it."""
+        if not normal:
             return []
-        if _MARK not in text and b"  " not in text and text[0] != 32:
-            return text.split(b" ")
-        string = SPACE + text.decode("utf-8", "replace")
+        if not self.apart:
+            return [OWN + normal]
+        if normal.startswith(_MARK) and _MARK + _MARK not in normal:
+            return normal.split(_MARK)[1:]
         return [
-            s[1:].encode() if s[0] == SPACE else OWN + s.encode()
-            for s in re.findall("[ ▁]*[^ ▁]+|[ ▁]+", string)
+            s[1:].encode() if s[0] == MARK and s[1:2] != MARK else OWN + s.encode()
+            for s in _SEGMENTS.findall(normal.decode("utf-8", "replace"))
         ]
 
-    def _value(self, key: bytes, ids: list[int]) -> tuple[bytes, int, bytes, bytes]:
-        segment = key[1:] if key[:1] == OWN else b" " + key
+    def _value(self, segment: str, ids: list[int]) -> tuple[bytes, bytes, bytes]:
+        """Ids joined by commas, sizes of the pieces in normalised bytes, their surfaces."""
         sizes = [self.sizes[i] for i in ids]
-        at = 0
-        for k, i in enumerate(ids):  # a mark that stands for a space is one byte of the text
-            for _ in range(self.surfaces[i].count(b" ")):
-                if segment[at] == 32:
-                    sizes[k] -= len(_MARK) - 1
-                    at += 1
-                else:
-                    at += len(_MARK)
-            at += len(self.surfaces[i].replace(b" ", b""))
-        return (
-            ",".join(map(str, ids)).encode(),
-            len(ids),
-            array("H", sizes).tobytes(),
-            b"".join(self.surfaces[i] for i in ids),
-        )
-
-    def prepare(self, keys: set[bytes]) -> None:
-        """Encode the segments that aren't kept."""
-        missing = list(keys.difference(self.kept))
-        if len(self.kept) + len(missing) > KEPT:
-            self.kept.clear()
-            missing = list(keys)
-        texts = [
-            (k[1:] if k[:1] == OWN else b" " + k).decode("utf-8", "replace").replace(SPACE, MARK) for k in missing
-        ]
-        for key, ids in zip(missing, self.library.encode(texts, num_threads=1)):
-            self.kept[key] = self._value(key, ids)
+        if 0 in sizes:
+            sizes = [len(p.surface.encode()) for p in self.library.encode(segment, return_type="proto").pieces]
+        return ",".join(map(str, ids)).encode(), array("I", sizes).tobytes(), b"".join(self.surfaces[i] for i in ids)
+
+    def values(self, keys: set[bytes]) -> dict[bytes, tuple]:
+        """What `_value` gives for each segment, by key; those up to LONGEST bytes are kept, as far as they fit."""
+        missing = [k for k in keys if k not in self.kept]
+        if missing and self.held > KEPT:
+            self.kept, self.held, missing = {}, 0, list(keys)
+        if not missing:
+            return self.kept
+        texts = [(k[1:] if k[:1] == OWN else _MARK + k).decode("utf-8", "replace") for k in missing]
+        long = {}
+        for key, text, ids in zip(missing, texts, self.library.encode(texts, num_threads=1)):
+            value = self._value(text, ids)
+            if len(key) > LONGEST:
+                long[key] = value
+            else:
+                self.kept[key] = value
+                self.held += 250 + len(key) + sum(map(len, value))
+        return ChainMap(long, self.kept) if long else self.kept
+
+    def decode(self, joined: bytes) -> bytes:
+        """Text of the pieces' surfaces."""
+        if (self.dummy or self.squeeze) and joined[:1] == b" ":
+            joined = joined[1:]
+        return joined.decode("utf-8", "replace").encode()
 
     def rows(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """(n_tokens, ids joined by commas, span ends as unsigned 32-bit integers, decoded text) of each text."""
-        if not (self.plain and self.apart):
-            for text in texts:
-                ids, ends = self.encode(text)
-                yield len(ids), ",".join(map(str, ids)).encode(), array("I", ends).tobytes(), self.decode(ids)
-            return
-        every = [self.segments(text) for text in texts]
-        self.prepare(set().union(*every))
-        for keys in every:
-            parts = [self.kept[k] for k in keys]
-            sizes = np.frombuffer(b"".join([p[2] for p in parts]), "<u2").astype(np.int64)
-            if len(sizes):
-                sizes[0] -= 1  # the space put before the text
-            yield (
-                len(sizes),
-                b",".join([p[0] for p in parts]),
-                np.cumsum(sizes).astype("<u4").tobytes(),
-                b"".join([p[3] for p in parts])[1:],
-            )
+        normal = [self.normalise(text) for text in texts]
+        every = [self.segments(text) for text, _ in normal]
+        known = self.values(set().union(*every))
+        for (_, origin), keys in zip(normal, every):
+            parts = [known[k] for k in keys]
+            sizes = np.frombuffer(b"".join([p[1] for p in parts]), "<u4")
+            ends = origin[np.cumsum(sizes, dtype=np.int64)]
+            yield len(sizes), b",".join([p[0] for p in parts if p[0]]), ends.astype("<u4").tobytes(), self.decode(b"".join([p[2] for p in parts]))
 
 
 _loaded: dict[str, Encoder] = {}

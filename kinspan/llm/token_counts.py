@@ -2,12 +2,15 @@
 
 Blocks of documents turn into postings: for each distinct pre-token of a block, which of its documents hold it and
 how often. Postings are dealt out by pre-token; there each distinct one is counted once and joined to its postings,
-and blocks get back the sums. No ids are kept anywhere. A frequent pre-token has one row for each block at most.
+and blocks get back the sums. No ids are kept anywhere. A frequent pre-token has one row for each block at most, and is
+counted anew for every GROUP of tasks, so that no key gathers the rows of all blocks. A pre-token over LONGEST bytes,
+which hardly any other document shares, is counted where it is met.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,24 +20,33 @@ from pyspark.sql import functions as F
 
 from kinspan.llm import _docs, wordbpe
 
-#: A block ends at so many documents or postings.
-BLOCK_DOCS, BLOCK_POSTINGS = 16_384, 2_000_000
+#: A block ends at so many documents, postings, or bytes of its distinct pre-tokens.
+BLOCK_DOCS, BLOCK_POSTINGS, BLOCK_BYTES = 16_384, 2_000_000, 16 << 20
+#: Tasks whose postings of a pre-token meet; bytes of a pre-token that is shared.
+GROUP, LONGEST = 512, 256
 #: Starts the key of the row that holds a block's documents; never part of UTF-8.
 META = b"\xfd"
 POSTING = np.dtype([("doc", "<u2"), ("times", "u1")])
 PARTIAL = np.dtype([("doc", "<u2"), ("n", "<u8")])
-HEAD = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n_bytes", "<i8")])
+HEAD = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n_bytes", "<i8"), ("n_long", "<i8")])
 
 
 class _Block:
     def __init__(self, key: int):
-        self.key, self.index, self.heads, self.parts, self.size = key, {}, [], [], 0
+        self.key, self.index, self.heads, self.parts, self.size, self.held, self.words = key, {}, [], [], 0, 0, 0
 
-    def add(self, doc_id, n_bytes: int, keys: np.ndarray) -> None:
+    def add(self, doc_id, n_bytes: int, keys: np.ndarray, n_long: int) -> None:
+        """n_long: the document's tokens that no posting counts."""
         token, times = np.unique(keys, return_counts=True)
         self.parts.append((token, np.full(len(token), len(self.heads), "<u2"), times))
-        self.heads.append((doc_id is not None, doc_id or 0, n_bytes))
+        self.heads.append((doc_id is not None, doc_id or 0, n_bytes, n_long))
         self.size += len(token)
+        self.held += sum(map(len, islice(reversed(self.index), len(self.index) - self.words)))
+        self.words = len(self.index)
+
+    @property
+    def full(self) -> bool:
+        return len(self.heads) >= BLOCK_DOCS or self.size >= BLOCK_POSTINGS or self.held >= BLOCK_BYTES
 
     def rows(self) -> pa.RecordBatch:
         words = list(self.index)
@@ -64,19 +76,29 @@ class _Block:
 
 def _postings(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _docs.Cache(wordbpe.load(tokenizer).pre_tokens)
+        model = wordbpe.load(tokenizer)
+        split = _docs.Cache(model.pre_tokens)
         number = _docs.partition_id() << 24
         block = _Block(number)
+        n_long = 0
+
+        def shared(chunk: bytes) -> list[bytes]:
+            """Of a long chunk the pre-tokens that are shared; the others are counted."""
+            nonlocal n_long
+            tokens = model.pre_tokens(chunk)
+            n_long += sum(len(model.ids(t)) for t in tokens if len(t) > LONGEST)
+            return [t for t in tokens if len(t) <= LONGEST]
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), _docs.utf8(batch.column(1))):
-                index = block.index
+                index, n_long = block.index, 0
                 keys = [
                     index.setdefault(token, len(index))
-                    for tokens in map(split.__getitem__, text.split())
-                    for token in tokens
+                    for chunk in text.split()
+                    for token in (split[chunk] if len(chunk) <= LONGEST else shared(chunk))
                 ]
-                block.add(doc_id, len(text), np.array(keys, np.int64))
-                if len(block.heads) >= BLOCK_DOCS or block.size >= BLOCK_POSTINGS:
+                block.add(doc_id, len(text), np.array(keys, np.int64), n_long)
+                if block.full:
                     yield block.rows()
                     number += 1
                     block = _Block(number)
@@ -143,7 +165,7 @@ def _documents(table: pa.Table) -> pa.Table:
         {
             "doc_id": pa.array(head["doc_id"], pa.int64(), mask=head["known"] == 0),
             "n_bytes": pa.array(head["n_bytes"], pa.int64()),
-            "n_tokens": pa.array(total[: len(head)], pa.int64()),
+            "n_tokens": pa.array(total[: len(head)] + head["n_long"], pa.int64()),
         }
     )
 
@@ -168,13 +190,14 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     postings = (
         _docs.texts(docs)
         .mapInArrow(_postings(tokenizer), "pre_token binary, block long, postings binary")
-        .repartition(parts, "pre_token")
+        .withColumn("group", F.shiftright("block", 24 + GROUP.bit_length() - 1))
+        .repartition(parts, "pre_token", "group")
     )
     # Each column itself takes part, so that this and the join read the same exchange.
-    distinct = postings.groupBy("pre_token").agg(F.count("block").alias("_b"), F.count("postings").alias("_p"))
-    counts = distinct.where("_b > 0 and _p > 0").select("pre_token", pieces("pre_token").alias("n"))
+    distinct = postings.groupBy("pre_token", "group").agg(F.count("block").alias("_b"), F.count("postings").alias("_p"))
+    counts = distinct.where("_b > 0 and _p > 0").select("pre_token", "group", pieces("pre_token").alias("n"))
     return (
-        postings.join(counts, "pre_token")
+        postings.join(counts, ["pre_token", "group"])
         .select("pre_token", "block", "postings", "n")
         .mapInArrow(_sums, "block long, head boolean, payload binary")
         .groupBy("block")

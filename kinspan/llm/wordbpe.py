@@ -1,9 +1,10 @@
 """Exact ids of a lower-casing word BPE (a tokenizers .json file), one white-space chunk at a time.
 
 White space never lies inside a pre-token, and neither normalisation nor an added token reaches across it, so
-the ids of a text are those of its chunks in turn. Chunks of plain letters, digits and marks take a fast way:
-their pre-tokens go to a rank-ordered byte-pair merger in which a closing byte stands for the end of a word.
-All other chunks (combining marks, rare scripts, strings of added tokens) go to the library itself.
+the ids of a text are those of its chunks in turn. A chunk falls into pre-tokens: of plain letters, digits and marks
+by the pattern, of any other script by the library's own normaliser and splitter. Pre-tokens go to a rank-ordered
+byte-pair merger in which a closing byte stands for the end of a word. Only chunks that hold the string of an added
+token go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class WordBPE:
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         letters, vocab = _byte_letters(), spec["model"]["vocab"]
+        self.bytes_of = {ord(c): chr(b) for c, b in letters.items()}
 
         def raw(token: str) -> bytes:
             body = token.removesuffix(SUFFIX)
@@ -61,10 +63,13 @@ class WordBPE:
         """The chunk's pre-tokens, normalised; or the chunk itself, marked, where only the library is exact."""
         if chunk.isalpha():
             return (chunk.lower(),)
-        text = chunk.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or any(a in chunk for a in self.added):
+        if any(a in chunk for a in self.added):
             return (RAW + chunk,)
-        return tuple(p.encode() for p in self.pattern.findall(text.lower()))
+        text = chunk.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text):
+            return tuple(p.encode() for p in self.pattern.findall(text.lower()))
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return tuple(piece.translate(self.bytes_of).encode("latin-1") for piece, _ in pieces)
 
     def ids(self, key: bytes) -> list[int]:
         if key[:1] == RAW:

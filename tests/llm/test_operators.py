@@ -155,17 +155,56 @@ def test_character_map_and_spans(tmp_path):
     (tmp_path / "m.model").write_bytes(model.SerializeToString())
     library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
     own = sentencepieces.Encoder(str(tmp_path / "m.model"))
-    for text in ["ｆｕｌｌ　ｗｉｄｔｈ ﬁ ① ㌔ é  ", "  plain  words ", "", "   ", "日本語 😀", *(t for _, t in ODD if t and len(t) < 1000)]:
-        ids, ends = own.encode(text.encode())
-        assert ids == library.encode(text)
+    rng = random.Random(3)
+    letters = "ab é▁ﬁ①㌔日😀½ｆ ́̈  \u3000\t\n¨ﷺ"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(20))) for _ in range(2000)]
+    for text in ["ｆｕｌｌ　ｗｉｄｔｈ ﬁ ① ㌔ é  ", "  plain  words ", "", "   ", "日本語 😀", *(t for _, t in ODD if t and len(t) < 1000), *made]:
+        ((n, ids, ends, decoded),) = own.rows([text.encode()])
+        wanted = library.encode(text)
+        assert ids.decode() == ",".join(map(str, wanted)) and n == len(wanted), text
+        assert decoded.decode() == (library.decode(wanted) if wanted else ""), text
         pieces = library.encode(text, return_type="proto").pieces
-        assert all(a == p.end for a, p in zip(ends, pieces) if p.surface)
-    plain = sentencepieces.load(PIECE_BPE)
-    for text in ["two words", " lead", "a  b", "é▁x ▁", "日本語 😀"]:
+        assert all(a == p.end for a, p in zip(array("I", ends), pieces) if p.surface), text
+    plain, exact = sentencepieces.load(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    for text in ["two words", " lead", "a  b", "é▁x ▁", "日本語 😀", "end ", "\0 x", *made]:
         ((n, ids, ends, decoded),) = plain.rows([text.encode()])
-        slow_ids, slow_ends = plain.encode(text.encode())
-        assert ids.decode() == ",".join(map(str, slow_ids)) and array("I", ends).tolist() == slow_ends
-        assert slow_ends[-1] == len(text.encode())
+        wanted = exact.encode(text)
+        assert ids.decode() == ",".join(map(str, wanted)) and decoded.decode() == (exact.decode(wanted) if wanted else "")
+        assert not n or array("I", ends).tolist()[-1] == len(text.encode())
+
+
+def test_very_long_texts_without_spaces(spark):
+    """20 MB of one letter run, and thousands of texts in a script without spaces: exact, in bounded memory."""
+    import sentencepiece
+
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcde") for _ in range(1 << 16)) * 40
+    han = ["".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(1000)) for _ in range(300)]
+    exact, library = _library_ids(), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    own, encoder = wordbpe.load(WORD_BPE), sentencepieces.load(PIECE_BPE)
+    kept = _docs.Cache(own.chunk_ids)
+    for text in [long, *han]:
+        assert array("I", kept[text.encode()]).tolist() == exact(text)
+    assert not kept
+    for text in [long[: 1 << 18], *han[:50]]:
+        ((n, ids, _, decoded),) = encoder.rows([text.encode()])
+        assert decoded.decode() == text and ids.decode() == ",".join(map(str, library.encode(text)))
+    assert max(map(len, encoder.kept), default=0) <= sentencepieces.LONGEST
+    df = spark.createDataFrame(list(enumerate([long, *han])), "doc_id long, text string")
+    found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, WORD_BPE).collect()}
+    assert found == {k: len(exact(t)) for k, t in enumerate([long, *han])}
+    block = token_counts._Block(0)
+    block.index.update({b"x" * 1000 + b"%d" % k: k for k in range(20_000)})
+    block.add(1, 5, np.arange(3), 0)
+    assert block.full
+
+
+def test_frequent_pre_tokens_are_counted_by_groups_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "GROUP", 2)
+    exact = _library_ids()
+    rows = [(k, f"the same words in every document number {k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, WORD_BPE).collect()} == {k: len(exact(t)) for k, t in rows}
 
 
 def test_language(spark, docs):

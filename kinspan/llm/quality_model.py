@@ -22,6 +22,8 @@ from kinspan.llm import _docs
 GOOD, BAD, NONE = 0, 1, 2
 #: Hashed features; documents (at most) on which the scorer is fitted; its passes over them.
 FEATURES, SAMPLE, STEPS = 1 << 16, 8192, 300
+#: Words of a stretch in which different ones are counted, so that long texts are judged like short ones.
+STRETCH = 500
 #: Score from which a document is kept.
 KEEP = 0.5
 _SYMBOLS = bytes(b for b in range(256) if chr(b) not in "#*$%&|<>")
@@ -41,7 +43,7 @@ class Signs:
     shouts: int  # words that end in an exclamation mark
     stops: int  # words that end a sentence or clause
     stutters: int  # words equal to the one before
-    distinct: int
+    distinct: int  # words that differ, of stretches of STRETCH words each
     lines: int
     repeats: int  # lines equal to an earlier one
     size: int  # characters in words
@@ -61,7 +63,7 @@ LABELLERS: dict[str, Callable[[Signs], int]] = {
     "upper_case": lambda s: _vote(3 * s.upper > s.n, 20 * s.upper <= s.n),
     "shouting": lambda s: _vote(4 * s.shouts > s.n, 20 * s.shouts <= s.n),
     "stutter": lambda s: _vote(4 * s.stutters > s.n and s.n >= 8, 20 * s.stutters <= s.n),
-    "variety": lambda s: _vote(s.n >= 20 and 10 * s.distinct < min(s.n, 500), s.n >= 20 and 10 * s.distinct > 3 * min(s.n, 500)),
+    "variety": lambda s: _vote(s.n >= 20 and 10 * s.distinct < s.n, s.n >= 20 and 10 * s.distinct > 3 * s.n),
     "sentences": lambda s: _vote(s.n >= 60 and s.stops == 0, 100 * s.stops >= s.n),
     "repeated_lines": lambda s: _vote(s.repeats > 0 and 2 * s.repeats > s.lines, 10 * s.repeats <= s.lines),
     "word_length": lambda s: _vote(not 2 * s.n <= s.size <= 20 * s.n, 3 * s.n <= s.size <= 12 * s.n),
@@ -76,7 +78,7 @@ def _shape(word: bytes) -> int:
     letters = [k for k in kinds if k in "Aa"]
     flags = _UPPER * (len(letters) > 1 and "a" not in letters) | _SHOUT * text.endswith("!") | _STOP * text.endswith((".", ",", ";", ":", "?"))
     flags |= _ODD * (not text[-1].isalnum() and text[-1] not in ".,;:?!\"')]»”’")
-    return xxhash.xxh3_64_intdigest(runs[:12].encode()) % (FEATURES - 64) << 4 | flags
+    return xxhash.xxh3_64_intdigest(runs.encode()) % (FEATURES - 64) << 4 | flags
 
 
 class Reader:
@@ -102,7 +104,7 @@ class Reader:
             shouts,
             stops,
             sum(map(bytes.__eq__, words, words[1:])),
-            len(set(words)),
+            sum(len(set(words[k : k + STRETCH])) for k in range(0, n, STRETCH)),
             len(lines),
             len(lines) - len(set(lines)),
             len(text.translate(None, _NO_CHARACTER)),
@@ -191,7 +193,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from `docs` (doc_id, text).
 
     Vote patterns are counted over all documents; the driver gets at most 3 ** len(LABELLERS) counts. The scorer is
-    fitted on about `sample` documents, at most twice as many, chosen by hashed doc_id.
+    fitted on at most about `sample` documents, those of the least hashed doc_id and text, whatever the partitions;
+    wholly equal rows count once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +211,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
-            found = [f for f in map(reader.read, _docs.utf8(batch.column(1))) if f is not None]
+            read = [(h, *f) for h, f in zip(batch.column(1).to_pylist(), map(reader.read, _docs.utf8(batch.column(0)))) if f is not None]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([votes(s) for s, *_ in found], pa.int64()),
-                    pa.array([at.astype("<i4").tobytes() for _, at, _ in found], pa.binary()),
-                    pa.array([values.astype("<f4").tobytes() for *_, values in found], pa.binary()),
+                    pa.array([h for h, *_ in read], pa.int64()),
+                    pa.array([votes(s) for _, s, *_ in read], pa.int64()),
+                    pa.array([at.astype("<i4").tobytes() for *_, at, _ in read], pa.binary()),
+                    pa.array([values.astype("<f4").tobytes() for *_, values in read], pa.binary()),
                 ],
-                names=["pattern", "at", "values"],
+                names=["h", "pattern", "at", "values"],
             )
 
     spark, narrow = docs.sparkSession, _docs.texts(docs)
@@ -226,9 +230,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     patterns = np.array(sorted(counted), np.int64)
     posterior = expectation_maximisation(patterns, np.array([counted[p] for p in patterns.tolist()], float))
     posteriors = dict(zip(patterns.tolist(), posterior.tolist()))
-    parts = 1 << 20
-    chosen = narrow.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < -(-sample * parts // max(total, 1)))
-    rows = chosen.mapInArrow(features, "pattern long, at binary, values binary").limit(2 * sample).collect()
+    keyed = narrow.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    bound = _docs.least_hashes(keyed.select("h"), sample, total) if total else None
+    rows = []
+    if bound is not None:
+        found = keyed.where(F.col("h") <= bound).mapInArrow(features, "h long, pattern long, at binary, values binary")
+        rows = [r[1:] for r in found.dropDuplicates(["h"]).collect()]
     rows.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     labels = np.array([posteriors.get(r[0], 0.5) for r in rows])
     weights, bias = fit_scorer([(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in rows], labels)
@@ -268,7 +275,10 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of `docs` that `classify` keeps, with all their columns."""
+    """The rows of `docs` that `classify` keeps, with all their columns, whatever their names.
+
+    Texts that are null or have no word go; equal rows are judged alike, each on its own; an empty table gives no rows.
+    """
     fitted = fit(docs) if model is None else model
 
     def make():

@@ -1,15 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
-Base measures are computed for every document. The rules on top are ordered by what a bounded sample shows: how many
-documents each rejects for the time it takes. A document goes through them in that order and stops at the first that
-rejects it. The order changes the time only: a document is kept if no rule rejects it.
+A document's measures are taken when a rule first asks for them. Rules, those of the base among them, are ordered by
+what a sample shows: how many documents each rejects for the time it takes, with what it has to measure. A document
+goes through them in that order and stops at the first that rejects it, so what only later rules ask for isn't
+measured. The order changes the time only: a document is kept if no rule rejects it.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,45 @@ _NO_CHARACTER = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 _FACTORS = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@dataclass
 class Document:
-    text: bytes
-    words: list[bytes]
-    n_words: int
-    word_chars: int
-    n_symbols: int
-    n_dup_lines: int
-    n_repeat_words: int
+    """A text whose measures are taken when asked for."""
 
+    def __init__(self, text: bytes, hash_of: dict[bytes, int]):
+        self.text, self.hash_of = text, hash_of
 
-#: Each takes a Document and says whether it rejects it. All are exact integer tests.
+    @cached_property
+    def words(self) -> list[bytes]:
+        return words_of(self.text)
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text.translate(None, _NO_CHARACTER))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.text.translate(None, _NO_SYMBOLS))
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return repeated_lines(self.text)
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        if self.n_words <= WINDOW:
+            return 0
+        return repeated(np.fromiter(map(self.hash_of.__getitem__, self.words), np.uint64, self.n_words))
+
+
+#: Each takes a Document and says whether it rejects it. All are exact integer tests. The first two are the base.
 RULES: dict[str, Callable[[Document], bool]] = {
+    # Under 20 words.
+    "short": lambda d: d.n_words < 20,
+    # Over 30 % of the words lie in a window of words that is found twice or more.
+    "repeats": lambda d: 100 * d.n_repeat_words > 30 * d.n_words,
     # More than a symbol for every five words.
     "symbols": lambda d: 5 * d.n_symbols > d.n_words,
     # Words of over 20 characters on average, or of under 2.
@@ -57,6 +84,7 @@ RULES: dict[str, Callable[[Document], bool]] = {
     # Over a quarter of the words equal the word before them.
     "stutter": lambda d: 4 * sum(map(bytes.__eq__, d.words, d.words[1:])) > d.n_words,
 }
+BASE = ("short", "repeats")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -102,48 +130,61 @@ def repeated_lines(text: bytes) -> int:
     return n
 
 
-def measure(text: bytes, hash_of: dict[bytes, int]) -> Document:
-    words = words_of(text)
-    hashes = np.fromiter(map(hash_of.__getitem__, words), np.uint64, len(words))
-    return Document(
-        text,
-        words,
-        len(words),
-        len(text.translate(None, _NO_CHARACTER)),
-        len(text.translate(None, _NO_SYMBOLS)),
-        repeated_lines(text),
-        repeated(hashes),
-    )
-
-
 def base_failed(d: Document) -> bool:
-    return d.n_words < 20 or 100 * d.n_repeat_words > 30 * d.n_words
+    return any(RULES[name](d) for name in BASE)
 
 
-def plan(sample: list[bytes]) -> list[str]:
-    """The rules by rejections per second on the sample, then by cost."""
-    hash_of = _docs.Cache(xxhash.xxh3_64_intdigest)
-    measured = [d for d in (measure(t, hash_of) for t in sample) if not base_failed(d)]
-    ranked = []
+def timings(texts: list[bytes], hash_of: dict[bytes, int]) -> dict[str, tuple[int, int, float]]:
+    """For each rule how many texts it saw, how many it rejected, and the seconds it took with all it had to measure."""
+    found = {}
     for name, rule in RULES.items():
-        began = time.perf_counter()
-        rejected = sum(map(rule, measured))
-        cost = (time.perf_counter() - began) / max(1, len(measured)) + 1e-9
-        ranked.append((-(rejected / max(1, len(measured))) / cost, cost, name))
-    return [name for *_, name in sorted(ranked)]
+        began, rejected = time.perf_counter(), 0
+        for text in texts:
+            d = Document(text, hash_of)
+            d.words  # all rules but one need them, and it hardly matters to that one
+            rejected += rule(d)
+        found[name] = len(texts), rejected, time.perf_counter() - began
+    return found
+
 
+def ranked(measured: dict[str, tuple[int, int, float]]) -> list[str]:
+    """The rules by rejections per second, then by cost."""
 
-def sample_of(docs: DataFrame, rows: int = SAMPLE) -> list[bytes]:
-    """At most `rows` texts, those of the least hashed doc_id; each of them whole, but none over a megabyte."""
-    narrow = _docs.texts(docs).where(F.length("text") < 1_000_000)
-    chosen = narrow.select("doc_id").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    ids = sorted({r.doc_id for r in chosen.collect()})
-    return [r.text.encode() for r in narrow.where(F.col("doc_id").isin(ids)).limit(rows).collect()]
+    def key(name: str) -> tuple:
+        seen, rejected, seconds = measured.get(name, (0, 0, 0.0))
+        cost = seconds / max(1, seen) + 1e-9
+        return -(rejected / max(1, seen)) / cost, cost, name
+
+    return sorted(RULES, key=key)
+
+
+def plan(docs: DataFrame, rows: int = SAMPLE) -> list[str]:
+    """The order of the rules on `rows` documents, those of the least hashed doc_id and text (equal rows count once).
+
+    They are measured whole where they are; a row for each rule and task is summed, and seven numbers reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of, total = _docs.Cache(xxhash.xxh3_64_intdigest), {name: (0, 0, 0.0) for name in RULES}
+        for batch in batches:
+            for name, more in timings(_docs.utf8(batch.column(0)), hash_of).items():
+                total[name] = tuple(a + b for a, b in zip(total[name], more))
+        columns = [list(total), *zip(*total.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rule", "seen", "rejected", "seconds"])
+
+    _docs.bound_batches(docs.sparkSession)
+    narrow = _docs.texts(docs).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    bound = _docs.least_hashes(narrow.select("h"), rows, narrow.count())
+    if bound is None:
+        return ranked({})
+    sample = narrow.where(F.col("h") <= bound).select("text")
+    sums = sample.mapInArrow(run, "rule string, seen long, rejected long, seconds double").groupBy("rule").sum("seen", "rejected", "seconds")
+    return ranked({r[0]: tuple(r)[1:] for r in sums.collect()})
 
 
 def passes(d: Document, cascade: list[Callable[[Document], bool]]) -> bool:
     """Stops at the first rule that rejects."""
-    return not base_failed(d) and not any(rule(d) for rule in cascade)
+    return not any(rule(d) for rule in cascade)
 
 
 def evaluate(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -151,12 +192,13 @@ def evaluate(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
     Gives n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word, equal to an earlier
     line), n_repeat_words (words in 8-word windows found twice or more), base_failed and kept (no rule rejects).
-    order: names of RULES; by default planned on a sample of SAMPLE documents.
+    All of these are asked for here, so the cascade saves the further rules' own work only; in `keep` it saves most.
+    order: names of all RULES; by default planned on a sample of SAMPLE documents.
 
     Null text is empty: all counts are 0 and it fails the base. Rows with equal or null doc_id are judged each on
     its own. An empty table gives no rows. Further columns are not read.
     """
-    names = plan(sample_of(docs)) if order is None else order
+    names = plan(docs) if order is None else order
 
     def make():
         hash_of = _docs.Cache(xxhash.xxh3_64_intdigest)
@@ -165,9 +207,9 @@ def evaluate(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = []
             for text in _docs.utf8(batch.column(1)):
-                d = measure(text, hash_of)
-                failed = base_failed(d)
+                d = Document(text, hash_of)
                 kept = passes(d, cascade)
+                failed = not kept and base_failed(d)
                 rows.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, kept))
             columns = list(zip(*rows))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
@@ -182,12 +224,15 @@ def evaluate(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The rows of `docs` that `evaluate` keeps, with all their columns."""
-    names = plan(sample_of(docs)) if order is None else order
+    """The rows of `docs` that `evaluate` keeps, with all their columns, whatever their names.
+
+    Null, empty and short texts go; equal rows are judged alike, each on its own; an empty table gives no rows.
+    """
+    names = plan(docs) if order is None else order
 
     def make():
         hash_of = _docs.Cache(xxhash.xxh3_64_intdigest)
         cascade = [RULES[name] for name in names]
-        return lambda texts: [passes(measure(text, hash_of), cascade) for text in texts]
+        return lambda texts: [passes(Document(text, hash_of), cascade) for text in texts]
 
     return _docs.keep_rows(docs, make)

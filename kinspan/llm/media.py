@@ -1,13 +1,14 @@
 """Media columns: archive directories as a Spark data source.
 
 Writing: each task streams its members into archives (ZIP, members stored) in a directory that all executors share;
-the driver's commit lists them in a manifest, so files of failed attempts are never read. Reading: the planner cuts
+the driver's commit lists them in a manifest, so files of failed attempts are never read, and deletes those. Reading: the planner cuts
 each listed archive into byte ranges; a task takes the members that start in its range, streams them in Arrow batches
 of bounded bytes and, when one can't be read, opens the archive anew at that member's offset, without the others.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import struct
 import uuid
@@ -128,20 +129,31 @@ class ArchiveWriter(DataSourceArrowWriter):
             out.close()
 
         number = 0
-        for batch in iterator:
-            for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
-                if archive is None:
-                    name = f"part-{_docs.partition_id():06d}-{len(files):04d}-{uuid.uuid4().hex}.zip"
-                    out = system.open_output_stream(f"{root}/{name}")
-                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                info = zipfile.ZipInfo(f"{number:09d}/{'null' if doc_id is None else doc_id}.png")
-                archive.writestr(info, media or b"")
-                number += 1
-                if out.tell() >= ARCHIVE_BYTES:
-                    close()
-                    archive = None
-        if archive is not None:
-            close()
+        try:
+            for batch in iterator:
+                for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
+                    if archive is None:
+                        name = f"part-{_docs.partition_id():06d}-{len(files):04d}-{uuid.uuid4().hex}.zip"
+                        out = system.open_output_stream(f"{root}/{name}")
+                        archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+                    info = zipfile.ZipInfo(f"{number:09d}/{'null' if doc_id is None else doc_id}.png")
+                    archive.writestr(info, media or b"")
+                    number += 1
+                    if out.tell() >= ARCHIVE_BYTES:
+                        close()
+                        archive = None
+            if archive is not None:
+                close()
+        except BaseException:  # the attempt ends here; so do its files
+            if archive is not None:
+                with contextlib.suppress(OSError, ValueError):
+                    archive.close()
+            if out is not None and not out.closed:
+                out.close()
+                files.append((name, 0))
+            for written, _ in files:
+                system.delete_file(f"{root}/{written}")
+            raise
         return Archives(files)
 
     def commit(self, messages: list[Archives | None]) -> None:
@@ -149,11 +161,17 @@ class ArchiveWriter(DataSourceArrowWriter):
         files = sorted(f for m in messages if m is not None for f in m.files)
         with system.open_output_stream(f"{root}/{MANIFEST}") as out:
             out.write(json.dumps(files).encode())
+        self.clear({name for name, _ in files})
 
     def abort(self, messages: list[Archives | None]) -> None:
+        self.clear(set())
+
+    def clear(self, keep: set[str]) -> None:
+        """Delete archives that lost attempts left behind: all but those named."""
         system, root = place(self.path)
-        for name, _ in (f for m in messages if m is not None for f in m.files):
-            system.delete_file(f"{root}/{name}")
+        for info in system.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
+            if info.base_name.startswith("part-") and info.base_name not in keep:
+                system.delete_file(info.path)
 
 
 class Range(InputPartition):

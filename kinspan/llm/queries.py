@@ -93,6 +93,42 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": r"""
+        with docs as (
+            select row_number() over () as nr, doc_id, coalesce(text, '') as text,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+            from documents
+        ), lines as (
+            select nr, unnest(string_split(text, chr(10))) as line from docs
+        ), same as (
+            select nr, line, count(*) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by all
+        ), dup as (
+            select nr, sum(n - 1) as n_dup, sum(n) as n_lines from same group by nr
+        ), starts as (
+            select nr, words, unnest(range(1, len(words) - 6)) as i from docs
+        ), windows as (
+            select nr, i, count(*) over (partition by nr, array_to_string(words[i : i + 7], ' ')) as n from starts
+        ), covered as (
+            select nr, unnest(range(i, i + 8)) as place from windows where n > 1
+        ), repeats as (
+            select nr, count(distinct place) as n from covered group by nr
+        ), measured as (
+            select doc_id, cast(len(words) as bigint) as n_words,
+                   cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
+                   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+                   cast(coalesce(n_dup, 0) as bigint) as n_dup_lines, coalesce(n_lines, 0) as n_lines,
+                   cast(coalesce(repeats.n, 0) as bigint) as n_repeat_words,
+                   len(list_filter(words, lambda x: ends_with(x, '!'))) as shouts,
+                   len(list_filter(range(1, len(words)), lambda k: words[k] = words[k + 1])) as stutters
+            from docs left join dup using (nr) left join repeats using (nr)
+        ), judged as (
+            select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from measured
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not (base_failed or 5 * n_symbols > n_words or not (2 * n_words <= word_chars and word_chars <= 20 * n_words)
+                    or (n_dup_lines > 0 and 2 * n_dup_lines > n_lines) or 4 * shouts > n_words or 4 * stutters > n_words) as kept
+        from judged
+    """,
     "op3_substring_dedup": r"""
         with docs as (
             select row_number() over () as nr, doc_id,

@@ -739,6 +739,47 @@ def test_media_members_are_retried_by_offset(tmp_path):
         member.read(Broken())
 
 
+def test_media_reader_retries_members_and_reads_ranges(tmp_path, monkeypatch):
+    """The data source itself: what two tasks write, planned in small ranges, read through a store that fails now and then."""
+    import pyarrow as pa
+    import pyarrow.fs
+
+    monkeypatch.setattr(media, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(media, "RANGE_BYTES", 1000)
+    writer = media.ArchiveWriter(str(tmp_path))
+    members = {k: random.Random(k).randbytes(500 + k) for k in range(12)}
+    batch = lambda ks: pa.RecordBatch.from_pydict({"doc_id": pa.array(ks, pa.int64()), "media": [members[k] for k in ks]})
+    messages = [writer.write(iter([batch([0, 1, 2]), batch([3, 4, 5])])), writer.write(iter([batch(range(6, 12))]))]
+    (tmp_path / "part-000000-0000-lost.zip").write_bytes(b"left by a lost attempt")
+
+    def broken():
+        yield batch([0])
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    writer.commit(messages)
+    listed = {name for m in messages for name, _ in m.files}
+    assert len(listed) > 2 and {p.name for p in tmp_path.iterdir()} == listed | {media.MANIFEST}
+    reader = media.ArchiveReader(str(tmp_path))
+    ranges = reader.partitions()
+    assert len(ranges) > len(listed)
+    fails = {"left": 0}
+    read = media.zipfile.ZipFile.read
+
+    def flaky(self, *args, **more):
+        fails["left"] += 1
+        if fails["left"] % 3 == 0:
+            raise OSError("the store is busy")
+        return read(self, *args, **more)
+
+    monkeypatch.setattr(media.zipfile.ZipFile, "read", flaky)
+    rows = [r for part in ranges for b in reader.read(part) for r in b.to_pylist()]
+    assert {r["doc_id"]: r["media"] for r in rows} == members and len(rows) == 12 and fails["left"] >= 12
+    writer.abort([])
+    assert [p.name for p in tmp_path.iterdir()] == [media.MANIFEST]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 101)], "x long, y long")
     found = dict(map(tuple, near_duplicates.components(links).collect()))

@@ -55,13 +55,14 @@ def coverage(segments: DataFrame, sites: DataFrame, window: float = 1.0) -> Data
         "chrom",
         F.explode(F.array(F.struct(F.col("first").alias("win"), F.lit(1).alias("step")), F.struct(F.col("last").alias("win"), F.lit(-1).alias("step")))).alias("e"),
     )
-    steps = steps.groupBy("chrom", "e.win").agg(F.sum("e.step").alias("step"))
     spine = sites.groupBy("chrom").agg((F.floor(F.max("cm").cast("double") / F.lit(float(window))) + 1).cast("int").alias("top"))
-    spine = spine.select("chrom", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("win"))
+    spine = spine.select("chrom", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("win"), F.lit(0).alias("step"), F.lit(True).alias("_asked"))
+    # Windows join the events as steps of 0, so that one aggregation does for a join.
+    every = steps.select("chrom", "e.win", "e.step", F.lit(False).alias("_asked")).unionByName(spine)
+    summed = every.groupBy("chrom", "win").agg(F.sum("step").alias("step"), F.max("_asked").alias("_asked"))
     along = Window.partitionBy("chrom").orderBy("win").rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(steps, ["chrom", "win"], "left").select(
-        "chrom", "win", _start(F.col("win"), window).alias("cm"), F.sum(F.coalesce("step", F.lit(0))).over(along).alias("n_segments")
-    )
+    counted = summed.withColumn("n_segments", F.sum("step").over(along)).where("_asked")
+    return counted.select("chrom", "win", _start(F.col("win"), window).alias("cm"), "n_segments")
 
 
 def length_histogram(segments: DataFrame) -> DataFrame:

@@ -122,7 +122,8 @@ def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """`inverse_frequency` of each hashed counter.
 
-    Every task sends its counters in blocks, which are summed by block; BUCKETS numbers reach the driver.
+    Every task sends its counters in blocks, which are summed one after another where they meet; BUCKETS numbers reach
+    the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +141,21 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             names=["block", "counts"],
         )
 
-    def add(table: pa.Table) -> pa.Table:
-        block, kind = table.column(0)[0].as_py(), "<u8" if table.column(0)[0].as_py() < 0 else "<u4"
-        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in table.column(1).to_pylist())
-        return pa.table({"block": pa.array([block], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # a few blocks, however many tasks sent theirs
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(counts, "<u8" if block < 0 else "<u4").astype(np.int64)
+                sums[block] = sums[block] + part if block in sums else part
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"]
+        )
 
     _docs.bound_batches(docs.sparkSession)
     kinds = "block int, counts binary"
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, kinds).groupBy("block").applyInArrow(add, kinds).collect()
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, kinds)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sent.repartition(parts, "block").mapInArrow(add, kinds).collect()
     df, n = np.zeros(BUCKETS, np.int64), 0
     for block, counts in rows:
         part = np.frombuffer(counts, np.int64)

@@ -12,7 +12,10 @@ from kinspan.functions import scalars as S
 
 
 def samples(names: DataFrame) -> DataFrame:
-    """sid and name for `names` (name, nr): numbered from 0 by first nr; repeated names count once."""
+    """sid and name for `names` (name, nr): numbered from 0 by first nr; repeated names count once.
+
+    Numbering takes one task, which holds a name and a number for each sample: of some millions at most.
+    """
     one = names.groupBy("name").agg(F.min("nr").alias("nr"))
     return one.select((F.row_number().over(Window.orderBy("nr")) - 1).cast("int").alias("sid"), "name")
 

@@ -49,7 +49,7 @@ def band(totals_: DataFrame, low_cm: float = 0.0, high_cm: float = 6553.5) -> Da
 def subset(totals_: DataFrame, ids: DataFrame, haplotypes: bool = False, d: int | None = None) -> DataFrame:
     """Cells of the samples in `ids` (sid), numbered anew from 0 by sid.
 
-    Repeated ids are an error, and so are fewer than two and, where the number of samples `d` is given, ids beyond it.
+    Ids are numbered in one task, which holds two numbers for each. Repeated ids are an error, and so are fewer than two and, where the number of samples `d` is given, ids beyond it.
     """
     sid = F.col("sid").cast("int")
     outside = sid.isNull() | (sid < 0) | (sid >= F.lit(d) if d is not None else F.lit(False))

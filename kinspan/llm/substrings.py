@@ -38,6 +38,8 @@ SPREAD = WINDOW - EDGE + 1  # edges in a window, so windows in a path at most
 TIE_BITS, WORD_BITS, RUN_BITS, KEY_BITS = 28, 31, 4, 60
 #: Rows that a task settles at once.
 CHUNK = 200_000
+#: In place of a source: a path through an anchor that branches.
+OPEN = -1
 #: Stands for a null doc_id, before all others.
 NULL = -(1 << 63)
 ROW = ("doc", "key", "tie")
@@ -123,11 +125,13 @@ class _Settler:
     """Takes rows (anchor, path, doc, key, place) and gives those of _PATHS.
 
     Of rows that have anchor and path in common the first in order stays as it is. The others are repeated, with the
-    first as their source; they are sent to no anchor but to their own document's key.
+    first as their source; they are sent to no anchor but to their own document's key. With `branch`, an anchor met
+    here with more than two paths is known to branch: its least and its greatest path go to it as witnesses, the others
+    each to a key of their own, with OPEN in place of a source. So an anchor gets a few rows of a task at most.
     """
 
-    def __init__(self):
-        self.parts, self.size = [], 0
+    def __init__(self, branch: bool = False):
+        self.parts, self.size, self.branch = [], 0, branch
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append([np.asarray(c).astype(np.int64) for c in columns])
@@ -147,15 +151,25 @@ class _Settler:
         keep = new | ~same
         again = ~new[keep]
         source = first[keep]
-        columns = [np.where(again, key[keep], anchor[keep]), np.where(again, 0, path[keep]), doc[keep], key[keep], place[keep]]
-        columns = [pa.array(c, pa.int64()) for c in columns] + [pa.array(c[source], pa.int64(), mask=~again) for c in (doc, key, place)]
+        at, own = np.where(again, key[keep], anchor[keep]), np.where(again, 0, path[keep])
+        before = place[source]
+        known = np.zeros(len(at), bool)
+        if self.branch and len(order):
+            firsts = anchor[new]  # sorted; each path of an anchor once
+            inner = np.zeros(len(firsts), bool)
+            inner[1:-1] = (firsts[1:-1] == firsts[:-2]) & (firsts[1:-1] == firsts[2:])
+            known[~again] = inner
+            at = np.where(known, _mix(at.view(np.uint64) * _ODD + own.view(np.uint64)).view(np.int64), at)
+            before = np.where(known, OPEN, before)
+        columns = [pa.array(c, pa.int64()) for c in (at, own, doc[keep], key[keep], place[keep])]
+        columns += [pa.array(doc[source], pa.int64(), mask=~again), pa.array(key[source], pa.int64(), mask=~again), pa.array(before, pa.int64(), mask=~again & ~known)]
         whole = pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in _PATHS.split(", ")])
         yield from (whole.slice(start, 10_000) for start in range(0, max(1, whole.num_rows), 10_000))
 
 
 def _path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, key, tie, text) to the paths of each document."""
-    hash_of, settler = _docs.Cache(xxhash.xxh3_64_intdigest), _Settler()
+    hash_of, settler = _docs.Cache(xxhash.xxh3_64_intdigest), _Settler(branch=True)
     for batch in batches:
         doc_ids, keys, ties = (batch.column(k).to_numpy() for k in range(3))
         words = Words(_docs.utf8(batch.column(3)), hash_of)
@@ -345,7 +359,7 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     again = F.when(F.col("source").isNotNull(), F.struct("place", F.col("source.doc").alias("sdoc"), F.col("source.key").alias("skey"), F.col("source.place").alias("splace")))
     paths = _never_null(keyed.mapInArrow(_path_rows, _PATHS), 5).repartition(parts, "anchor")
-    own = lambda c: F.when(F.col("skey").isNull(), F.col(c))
+    own = lambda c: F.when(F.col("skey").isNull() & F.col("splace").isNull(), F.col(c))
     # Each column takes part, so that this and the join read the same exchange.
     anchors = (
         paths.groupBy("anchor")
@@ -353,8 +367,8 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where("_n > 1 and _k is not null and _p is not null and _d >= 0 and _s >= 0")
         .select(F.col("anchor").alias("_anchor"), (F.col("_low") < F.col("_high")).alias("branches"))
     )
-    met = sourced(paths.join(anchors, paths.anchor == anchors._anchor, "left").where("skey is not null or _anchor is not null"))
-    met = met.where("source is not null or branches")
+    met = sourced(paths.join(anchors, paths.anchor == anchors._anchor, "left").where("skey is not null or splace is not null or _anchor is not null"))
+    met = met.where(f"source is not null or branches or splace = {OPEN}")
     by_doc = met.groupBy(*ROW).agg(F.collect_list(again).alias("again"), F.collect_list(F.when(F.col("source").isNull(), F.col("place"))).alias("open"))
     whole = keyed.repartition(parts, *ROW)
     # Both lists take part in both, so that they read the same exchange.

@@ -480,6 +480,7 @@ def test_substrings_of_rows_that_share_ids(spark, monkeypatch, chunk):
         own = [f"w{rng.randrange(10_000)}" for _ in range(rng.choice([0, 4, 25, 300]))]
         at = rng.randrange(len(own) + 1)
         own[at:at] = passage[rng.randrange(20) :] if k % 3 else passage
+        own += passage[:9] + [f"v{rng.randrange(3)}" for _ in range(30)]
         rows.append((None if k % 2 else 5, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     order = {(r.doc_id, r.text): (r.doc, r.key, r.tie) for r in substrings._keyed(df).collect()}
@@ -488,6 +489,21 @@ def test_substrings_of_rows_that_share_ids(spark, monkeypatch, chunk):
     assert collections.Counter(map(tuple, found)) == collections.Counter(want) and sum(w[2] for w in want) > 1500
 
 
+def test_substring_anchors_get_few_rows_of_a_task():
+    """A line in very many documents with other words about it: two witnesses for its anchor, the others on their own."""
+    settler = substrings._Settler(branch=True)
+    n = 1000
+    rows = [np.array(c, np.int64) for c in zip(*[(77, k, k, k, k << 4 | 1) for k in range(n)], (77, 5, 2000, 2000, 17), (78, 1, 3, 3, 33), (79, 1, 4, 4, 49), (79, 2, 5, 5, 65))]
+    assert not list(settler.add(*rows))
+    found = [r for b in settler.flush() for r in b.to_pylist()]
+    at = collections.Counter(r["anchor"] for r in found)
+    assert (at[77], at[78], at[79]) == (2, 1, 2) and len(found) == n + 4 and max(at.values()) == 2
+    assert sorted(r["path"] for r in found if r["anchor"] == 77) == [0, n - 1]
+    assert sum(r["splace"] == substrings.OPEN for r in found) == n - 2
+    (again,) = [r for r in found if r["skey"] is not None]
+    assert (again["key"], again["sdoc"], again["splace"]) == (2000, 5, 5 << 4 | 1)
+
+
 def test_substrings_are_cut_out_of_the_text_as_it_is(spark):
     passage = " ".join(f"p{k}" for k in range(25))
     rows = [(1, f"one\n{passage}\n\nend", 0, "a"), (2, f"two\n\nlines  {passage}\n\nlast  word\n", 0, "b"), (3, passage + " \n", 0, "c"), (4, None, None, "d")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinspan import schema
 from kinspan.operators import genotypes
+from kinspan.sources import bgzf
 
 
 def raw_segments(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
@@ -49,13 +50,18 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema.EXCLUSIONS, mode="FAILFAST")
 
 
-def vcf(spark: SparkSession, path: str, chrom: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def vcf(spark: SparkSession, path: str, chrom: str, range_bytes: int = bgzf.RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """samples (sid, name), positions (chrom, bp) and genotypes (chrom, pid, sid, a0, a1) of a VCF text file.
 
     The file's own chromosome column isn't used. Of repeated positions the first variant stays. Lines keep their order
-    in the file through the monotonic id of the scan.
+    in the file through the monotonic id of the scan. A block-compressed file (by name: .bgz, or .gz with such blocks)
+    is read in ranges, any other compressed one by one task.
     """
-    lines = spark.read.text(path).withColumn("nr", F.monotonically_increasing_id())
+    if path.endswith((".gz", ".bgz")) and bgzf.is_block_compressed(path):
+        spark.dataSource.register(bgzf.BlockCompressed)
+        lines = spark.read.format(bgzf.FORMAT).option("kind", "lines").option("rangebytes", range_bytes).load(path)
+    else:
+        lines = spark.read.text(path).withColumn("nr", F.monotonically_increasing_id())
     header = lines.where(F.col("value").startswith("#CHROM")).orderBy("nr").limit(1)
     fields = F.split("value", "\t")
     found = header.select(F.posexplode(F.slice(fields, 10, F.greatest(F.size(fields) - 9, F.lit(0)))).alias("nr", "name"))

@@ -142,3 +142,75 @@ def test_matrix_files_are_added_and_subset_once(spark, tmp_path):
         recipes.matrix_files(spark, [written, written], str(tmp_path / "again"), sids=sids)
     with pytest.raises(ValueError):
         recipes.matrix_files(spark, paths[:1], str(tmp_path / "one"))
+
+
+def _blocks(data, sizes):
+    """Block-compressed bytes: blocks of the given numbers of bytes, by turns, and an empty last one."""
+    import itertools
+    import struct
+    import zlib
+
+    out, at = [], 0
+    for size in itertools.chain(itertools.takewhile(lambda _: at < len(data), itertools.cycle(sizes)), [0]):
+        part = data[at : at + size]
+        at += size
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(part) + packer.flush()
+        head = b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
+        out.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join(out)
+
+
+def test_block_compressed_lines_in_ranges(tmp_path):
+    import io
+    import random
+
+    from kinspan.sources import bgzf
+
+    rng = random.Random(2)
+    wanted = [bytes(rng.choice(b"abcdef\x1f\x8b\x08\x04") for _ in range(rng.choice([0, 3, 40, 900]))) for _ in range(300)]
+    for tail in (b"", b"\n"):
+        data = _blocks(b"\n".join(wanted) + tail, [17, 300, 1, 2500])
+        for step in (50, 333, 5000, len(data)):
+            f, found = io.BytesIO(data), []
+            for start in range(0, len(data), step):
+                found += bgzf.lines(f, start, min(start + step, len(data)), len(data))
+            assert [line for _, line in found] == wanted and [n for n, _ in found] == sorted({n for n, _ in found})
+
+
+def test_block_compressed_variants_in_ranges(spark, tmp_path):
+    import gzip
+    import random
+    import struct
+
+    from kinspan.sources import bcf
+
+    rng = random.Random(3)
+    header = "##contig=<ID=1>\n##contig=<ID=2>\n" + '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="g">\n'
+    header += "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tc\n\0"
+
+    def record(pos):
+        name = bytes(rng.choice(b"ACGT") for _ in range(rng.randrange(1, 14)))
+        shared = struct.pack("<iiifII", 1, pos - 1, 1, 0.0, 2 << 16, 2 << 24 | 3) + b"\x07" + bytes([len(name) << 4 | 7]) + name + b"\x17C" + b"\x00"
+        own = b"\x11\x01" + b"\x11\x05\x06\x07" + b"\x11\x02" + b"\x21" + bytes(rng.choice([0, 2, 3, 4, 5]) for _ in range(6))
+        return struct.pack("<II", len(shared), len(own)) + shared + own
+
+    body = b"".join(record(rng.randrange(1, 400)) for _ in range(500))
+    plain = b"BCF\x02\x02" + struct.pack("<I", len(header)) + header.encode() + body
+    (tmp_path / "whole.bcf").write_bytes(gzip.compress(plain))
+    (tmp_path / "blocks.bcf").write_bytes(_blocks(plain, [700, 90, 1200, 5]))
+    want = [sorted(map(tuple, df.collect())) for df in bcf.bcf(spark, str(tmp_path / "whole.bcf"), "1")]
+    for step in (150, 1000, 1 << 20):
+        found = bcf.bcf(spark, str(tmp_path / "blocks.bcf"), "1", step)
+        assert [sorted(map(tuple, df.collect())) for df in found] == want
+    assert len(want[0]) == 3 and len(want[1]) > 200 and len(want[2]) == 3 * len(want[1])
+
+
+def test_block_compressed_vcf(spark, tmp_path):
+    lines = ["##x", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb"] + [f"9\t{p}\t.\tA\tC\t.\t.\t.\tGT\t{p % 2}|1\t.|{k % 2}" for k, p in enumerate([5, 3, 5, 9, 3, 12])]
+    text = ("\n".join(lines) + "\n").encode()
+    (tmp_path / "v.vcf").write_bytes(text)
+    (tmp_path / "v.vcf.gz").write_bytes(_blocks(text, [40, 7]))
+    plain, packed = readers.vcf(spark, str(tmp_path / "v.vcf"), "1"), readers.vcf(spark, str(tmp_path / "v.vcf.gz"), "1", 60)
+    for a, b in zip(plain, packed):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

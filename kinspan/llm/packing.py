@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, window: int = WIND
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _docs.Cache(wordbpe.load(tokenizer).chunk_ids)
+        ids_of = wordbpe.ids_by_chunk(tokenizer)
         packer, rows, held = Packer(window, _docs.partition_id() << 32), [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), _docs.utf8(batch.column(1))):

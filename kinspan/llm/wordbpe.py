@@ -16,9 +16,13 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from kinspan.llm import _docs
+
 #: Never part of UTF-8: ends a word; marks a chunk that only the library may encode.
 END, RAW = b"\xff", b"\xfe"
 SUFFIX = "</w>"
+#: Marks that close a word; together they are one pre-token.
+_CLOSING = b".,;:!?"
 #: Characters that neither composition nor a rare case mapping touches.
 _PLAIN = regex.compile(r"[!-~¡-įı-ňŊ-ž]+")
 
@@ -76,8 +80,14 @@ class WordBPE:
             return self.library.encode(key[1:].decode("utf-8", "replace"), add_special_tokens=False).ids
         return [self.id_of[r] for r in self.merge(key + END)]
 
-    def chunk_ids(self, chunk: bytes) -> bytes:
-        """The ids of a white-space chunk as unsigned 32-bit integers."""
+    def chunk_ids(self, chunk: bytes, known: dict[bytes, bytes] | None = None) -> bytes:
+        """The ids of a white-space chunk as unsigned 32-bit integers. known: such ids by chunk, made if missing."""
+        if known is not None:
+            stem = chunk.rstrip(_CLOSING)
+            if stem.isalpha():  # then the closing marks are a pre-token of their own, and case doesn't count
+                low = stem.lower()
+                if low != chunk:
+                    return known[low] + known[chunk[len(stem) :]] if len(stem) < len(chunk) else known[low]
         return array("I", [i for key in self.pre_tokens(chunk) for i in self.ids(key)]).tobytes()
 
 
@@ -89,3 +99,10 @@ def load(path: str) -> WordBPE:
     if path not in _loaded:
         _loaded[path] = WordBPE(path)
     return _loaded[path]
+
+
+def ids_by_chunk(path: str) -> _docs.Cache:
+    """`chunk_ids` of each chunk; those of words serve for their capitals and closing marks too."""
+    model = load(path)
+    cache = _docs.Cache(lambda chunk: model.chunk_ids(chunk, cache))
+    return cache

@@ -74,13 +74,14 @@ def _library_ids():
 
 
 def test_word_bpe_is_exact():
-    exact, own = _library_ids(), wordbpe.load(WORD_BPE)
+    exact, own, kept = _library_ids(), wordbpe.load(WORD_BPE), wordbpe.ids_by_chunk(WORD_BPE)
     rng = random.Random(2)
     letters = "abcXYZ0189'’-_.,!?éÉßñ½²ªµΩσςΣİıſ̧́日😀​\x7f\x1c<|>"
     texts = ["".join(rng.choice(letters + "    ") for _ in range(60)) for _ in range(2000)] + [t for _, t in ODD if t]
+    texts += ["".join(rng.choice("aBcD.,;:!?' é") for _ in range(40)) for _ in range(2000)]
     for text in texts:
-        ids = array("I", b"".join(map(own.chunk_ids, text.encode().split()))).tolist()
-        assert ids == exact(text), text
+        for way in (own.chunk_ids, kept.__getitem__):
+            assert array("I", b"".join(map(way, text.encode().split()))).tolist() == exact(text), text
 
 
 def test_packing(spark, docs):

@@ -166,10 +166,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Delete all tables so named."""
-        for path in [p for p in self.paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]:
-            delete(self.spark, path)
+    def drop(self, *names: str, but_last: bool = False) -> None:
+        """Delete all tables so named, or all but the last one of each name."""
+        for name in names:
+            own = [p for p in self.paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] == name]
+            for path in own[: len(own) - but_last]:
+                delete(self.spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -584,6 +584,7 @@ def classify(docs: DataFrame) -> DataFrame:
     links = scratch(tried.union(_large_round(mixed, texts, idf, parts)), "tried")
     roots = _joined(roots, links, scratch)
     scratch.drop("buckets", "texts", "tried", "mixed", "edges")
+    scratch.drop("roots", but_last=True)
     classes = (
         copies.join(roots, "node", "left")
         .select(F.coalesce("root", "node").alias("root"), "n", "first")

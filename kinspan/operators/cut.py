@@ -25,7 +25,7 @@ def _spans(regions: DataFrame, sites: DataFrame) -> DataFrame:
     spans = placed.withColumns({"pid_e": F.lead("pid_s").over(along), "cm_e": F.lead("cm_s").over(along)})
     last = F.coalesce(F.col("pid_e") - 1, F.greatest("pid_s", "top"))
     spans = spans.select("chrom", "pid_s", "cm_s", "pid_e", "cm_e", "label", last.alias("last"))
-    few = spans.limit(LOCAL_REGIONS + 1).collect()
+    few = spans.limit(LOCAL_REGIONS + 1).toArrow()
     return spans.sparkSession.createDataFrame(few, spans.schema) if len(few) <= LOCAL_REGIONS else spans
 
 

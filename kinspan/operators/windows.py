@@ -17,15 +17,14 @@ def density(sites: DataFrame, window: float = 2.0) -> DataFrame:
     """Sites in each window of `window` cM: chrom, win, cm (where it starts), n_sites; empty windows too."""
     if window <= 0:
         raise ValueError("a window needs a width")
-    counted = sites.groupBy("chrom", F.floor(F.col("cm") / F.lit(float(window))).cast("int").alias("win")).agg(F.count("*").alias("n"))
     w = F.lit(float(window))
     most = F.max("cm").cast("double")
     planned = F.floor(F.floor(F.ceil(F.ceil(most) / w) * w) / w)
     spine = sites.groupBy("chrom").agg(F.greatest(planned, F.floor(most / w) + 1).cast("int").alias("bins"))
-    spine = spine.select("chrom", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("win"))
-    return spine.join(counted, ["chrom", "win"], "left").select(
-        "chrom", "win", S.real(F.col("win") * F.lit(float(window))).alias("cm"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_sites")
-    )
+    spine = spine.select("chrom", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("win"), F.lit(0).alias("n"))
+    # Windows join the sites as counts of 0, so that one aggregation does for a join.
+    every = sites.select("chrom", F.floor(F.col("cm") / w).cast("int").alias("win"), F.lit(1).alias("n")).unionByName(spine)
+    return every.groupBy("chrom", "win").agg(F.sum("n").alias("n_sites")).select("chrom", "win", S.real(F.col("win") * w).alias("cm"), "n_sites")
 
 
 def _start(win: Column, window: float) -> Column:
@@ -96,18 +95,17 @@ def exclude(regions: DataFrame, ranges: DataFrame) -> DataFrame:
 
     A range that ends before it starts, or starts before its chromosome's first region, is an error.
     """
-    first = regions.groupBy("chrom").agg(F.min("pid_s").alias("_first"))
-    wrong = F.raise_error(F.format_string("not a range within the regions: %d to %d", "pid_left", "pid_right"))
-    fits = F.coalesce(F.col("_first") <= F.col("pid_left"), F.lit(False)) & (F.col("pid_left") <= F.col("pid_right"))
-    ranges = ranges.join(first, "chrom", "left").withColumn("pid_left", F.when(fits, F.col("pid_left")).otherwise(wrong))
-    steps = ranges.select("chrom", F.explode(F.array(F.struct(F.col("pid_left").alias("pid_s"), F.lit(1).alias("step")), F.struct(F.col("pid_right").alias("pid_s"), F.lit(-1).alias("step")))).alias("e"))
-    steps = steps.groupBy("chrom", "e.pid_s").agg(F.sum("e.step").alias("step"))
-    merged = regions.select("chrom", "pid_s", "label").join(steps, ["chrom", "pid_s"], "full")
+    wrong = lambda text, *columns: F.raise_error(F.format_string(f"not a range within the regions: {text}", *columns))
+    checked = ranges.withColumn("pid_left", F.when(F.col("pid_left") <= F.col("pid_right"), F.col("pid_left")).otherwise(wrong("%d to %d", "pid_left", "pid_right")))
+    ends = F.array(F.struct(F.col("pid_left").alias("pid_s"), F.lit(1).alias("step")), F.struct(F.col("pid_right").alias("pid_s"), F.lit(-1).alias("step")))
+    steps = checked.select("chrom", F.explode(ends).alias("e")).select("chrom", "e.pid_s", F.lit(None).cast("tinyint").alias("label"), "e.step")
+    every = regions.select("chrom", "pid_s", F.col("label").cast("tinyint").alias("label"), F.lit(0).alias("step")).unionByName(steps)
+    merged = every.groupBy("chrom", "pid_s").agg(F.max("label").alias("label"), F.sum("step").alias("step"))
     along = Window.partitionBy("chrom").orderBy("pid_s").rowsBetween(Window.unboundedPreceding, 0)
-    label = F.last("label", ignorenulls=True).over(along)
-    over = F.sum(F.coalesce("step", F.lit(0))).over(along)
-    found = merged.select("chrom", F.col("pid_s").cast("int").alias("pid_s"), F.when(over > 0, 0).otherwise(label).cast("tinyint").alias("label"))
-    return _changes(found.where("label is not null"))
+    label, over = F.last("label", ignorenulls=True).over(along), F.sum("step").over(along)
+    found = merged.withColumns({"_label": label, "_over": over})
+    known = F.when(F.col("_label").isNull(), wrong("one starts at %d", "pid_s").cast("tinyint")).when(F.col("_over") > 0, 0).otherwise(F.col("_label"))
+    return _changes(found.select("chrom", F.col("pid_s").cast("int").alias("pid_s"), known.cast("tinyint").alias("label")))
 
 
 def exclusion_ranges(lines: DataFrame, chroms: DataFrame, points: DataFrame, sites: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ class _Settler:
     """Takes rows (anchor, path, doc, key, place) and gives those of _PATHS.
 
     Of rows that have anchor and path in common the first in order stays as it is. The others are repeated, with the
-    first as their source; they are sent to no anchor but to their own document's key. With `branch`, an anchor met
+    first as their source; they are sent to no anchor but to a key of their document. With `branch`, an anchor met
     here with more than two paths is known to branch: its least and its greatest path go to it as witnesses, the others
     each to a key of their own, with OPEN in place of a source. So an anchor gets a few rows of a task at most.
     """
@@ -151,7 +151,8 @@ class _Settler:
         keep = new | ~same
         again = ~new[keep]
         source = first[keep]
-        at, own = np.where(again, key[keep], anchor[keep]), np.where(again, 0, path[keep])
+        row = _mix(doc[keep].view(np.uint64) * _ODD + key[keep].view(np.uint64)).view(np.int64)  # copies have the same key
+        at, own = np.where(again, row, anchor[keep]), np.where(again, 0, path[keep])
         before = place[source]
         known = np.zeros(len(at), bool)
         if self.branch and len(order):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinspan.functions import compare
 from kinspan.functions import scalars as S
 from kinspan.operators import cut, encode, genetic_map, genotypes, matrix, merge, windows
 from kinspan.plans import derived as D
@@ -218,6 +219,44 @@ def triangle_cells(spark, sf_dir):
     return cells.withColumn("back", S.triangle_index(F.col("row"), F.col("col")))
 
 
+def map_flat(spark, sf_dir):
+    """Whether the map doesn't rise at each site."""
+    return genetic_map.flat(D.sites(spark).select("chrom", "bp"), D.map_points(spark)).select("chrom", "bp", "is_flat")
+
+
+def matrix_from_cells(spark, sf_dir):
+    """A matrix given as the numbered cells of its lower triangle."""
+    cells = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("nr"), (F.col("o_custkey") % 5).alias("cm10x"))
+    return matrix.from_triangle(cells)
+
+
+def cell_lookup(spark, sf_dir):
+    return matrix.cell(total_by_pair(spark, sf_dir), 7, 31)
+
+
+def totals_that_differ(spark, sf_dir):
+    """Rows that two tables of totals don't share."""
+    return compare.differences(total_by_pair(spark, sf_dir), total_bounded(spark, sf_dir))
+
+
+def sample_ids(spark, sf_dir):
+    """Names numbered by their first appearance."""
+    names = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), F.col("o_orderkey").alias("nr"))
+    return encode.samples(names)
+
+
+def chromosome_upsert(spark, sf_dir):
+    """Chromosomes with their lengths, some of them put anew."""
+    known = D.sites(spark).groupBy("chrom").agg(F.max("bp").alias("length"))
+    return compare.upsert(known, spark.createDataFrame([("N", 7), ("X", 9)], "chrom string, length int"), "chrom")
+
+
+def record_counts(spark, sf_dir):
+    """Segments, cells of the matrix and its greatest total."""
+    totals = total_by_pair(spark, sf_dir).agg(F.count("*").alias("n_cells"), F.max("cm10x").alias("greatest"))
+    return totals.withColumn("n_segments", D.segments(spark, sf_dir).agg(F.count("*").alias("n")).scalar())
+
+
 _SQL = {
     total_by_pair: f"with {_TOTALS} select * from totals",
     total_by_haplotype_pair: f"""with {_SEG} select cast(sid1 * 2 + hid1 as int) as "row", cast(sid2 * 2 + hid2 as int) as col,
@@ -314,6 +353,20 @@ _SQL |= {
     triangle_cells: """select nr, r as "row", nr - r * (r - 1) // 2 as col, nr as back from (
         select distinct o_orderkey as nr, cast(floor((1 + sqrt(8 * o_orderkey + 1)) / 2) as bigint) as r from orders)""",
 }
+_SQL |= {
+    map_flat: f"""with {_SITES}, {_POINTS} select s.chrom, s.bp, slope = 0 as is_flat
+        from sites s asof join points p on s.chrom = p.chrom and s.bp >= p.bp""",
+    matrix_from_cells: """select cast(r as int) as "row", cast(nr - r * (r - 1) // 2 as int) as col, cast(v as bigint) as cm10x from (
+        select o_orderkey as nr, o_custkey % 5 as v, cast(floor((1 + sqrt(8 * o_orderkey + 1)) / 2) as bigint) as r from orders) where v <> 0""",
+    cell_lookup: f"""with {_TOTALS} select * from totals where "row" = 31 and col = 7""",
+    totals_that_differ: f"""with {_TOTALS}, bounded as (select sid1 as "row", sid2 as col, cast(sum(cast(round((cm2 - cm1) * cast(10 as float)) as bigint)) as bigint) as cm10x
+            from seg where cm2 - cm1 >= cast(0.5 as float) and cm2 - cm1 < cast(2.0 as float) group by all),
+        both_ as (select *, 1 as n from totals union all select *, -1 from bounded)
+        select "row", col, cm10x, cast(sum(n) as bigint) as more_in_a from both_ group by all having sum(n) <> 0""",
+    sample_ids: """select cast(row_number() over (order by min(o_orderkey)) - 1 as int) as sid, 'c' || o_custkey as name from orders group by o_custkey""",
+    chromosome_upsert: f"""with {_SITES} select chrom, max(bp) as length from sites where chrom <> 'N' group by chrom union all select 'N', 7 union all select 'X', 9""",
+    record_counts: f"""with {_TOTALS} select count(*) as n_cells, max(cm10x) as greatest, (select count(*) from seg) as n_segments from totals""",
+}
 
 QUERIES = {f.__name__: f for f in _SQL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _SQL.items()}

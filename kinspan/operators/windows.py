@@ -13,18 +13,27 @@ from kinspan.operators import genetic_map
 MOST_CHROMS = 10_000
 
 
-def density(sites: DataFrame, window: float = 2.0) -> DataFrame:
-    """Sites in each window of `window` cM: chrom, win, cm (where it starts), n_sites; empty windows too."""
+def _counts(sites: DataFrame, window: float) -> DataFrame:
+    """chrom, win and, of the sites in each window, how many there are (n), how many lie at its start or before (early),
+    and how many past the start of the next (late): windows by division and starts by the 32-bit product differ a little."""
     if window <= 0:
         raise ValueError("a window needs a width")
     w = F.lit(float(window))
     most = F.max("cm").cast("double")
     planned = F.floor(F.floor(F.ceil(F.ceil(most) / w) * w) / w)
     spine = sites.groupBy("chrom").agg(F.greatest(planned, F.floor(most / w) + 1).cast("int").alias("bins"))
-    spine = spine.select("chrom", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("win"), F.lit(0).alias("n"))
+    none = [F.lit(0).alias(c) for c in ("n", "early", "late")]
+    spine = spine.select("chrom", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("win"), *none)
+    placed = sites.select("chrom", "cm", F.floor(F.col("cm") / w).cast("int").alias("win"))
+    early, late = F.col("cm") <= _start(F.col("win"), window), F.col("cm") > _start(F.col("win") + 1, window)
     # Windows join the sites as counts of 0, so that one aggregation does for a join.
-    every = sites.select("chrom", F.floor(F.col("cm") / w).cast("int").alias("win"), F.lit(1).alias("n")).unionByName(spine)
-    return every.groupBy("chrom", "win").agg(F.sum("n").alias("n_sites")).select("chrom", "win", S.real(F.col("win") * w).alias("cm"), "n_sites")
+    every = placed.select("chrom", "win", F.lit(1).alias("n"), early.cast("int").alias("early"), late.cast("int").alias("late")).unionByName(spine)
+    return every.groupBy("chrom", "win").agg(*(F.sum(c).alias(c) for c in ("n", "early", "late")))
+
+
+def density(sites: DataFrame, window: float = 2.0) -> DataFrame:
+    """Sites in each window of `window` cM: chrom, win, cm (where it starts), n_sites; empty windows too."""
+    return _counts(sites, window).select("chrom", "win", S.real(F.col("win") * F.lit(float(window))).alias("cm"), F.col("n").alias("n_sites"))
 
 
 def _start(win: Column, window: float) -> Column:
@@ -82,11 +91,15 @@ def density_regions(sites: DataFrame, window: float = 2.0, least: int = 10) -> D
 
     A region starts at the first site past its first window's start; one of label 0 a site earlier.
     """
-    labelled = density(sites, window).select("chrom", "win", "cm", (F.col("n_sites") >= least).cast("tinyint").alias("label"))
-    changed = _changes(labelled, "win")
-    placed = genetic_map.sites_up_to(changed.select("chrom", _start(F.col("win"), window).alias("cm"), "win", "label"), sites, "cm")
-    pid = F.when(F.col("win") == 0, 0).otherwise(F.greatest(F.col("n_sites") - (F.col("label") == 0).cast("int"), F.lit(0)))
-    last = placed.select("chrom", pid.cast("int").alias("pid_s"), "win", "label").groupBy("chrom", "pid_s").agg(F.max_by("label", "win").alias("label"))
+    along = Window.partitionBy("chrom").orderBy("win")
+    before = F.sum(F.col("n") - F.col("late")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    # A site past the next window's start still lies before the one after that.
+    late = F.sum("late").over(along.rowsBetween(Window.unboundedPreceding, -2))
+    label = (F.col("n") >= least).cast("tinyint")
+    counted = _counts(sites, window).withColumns({"label": label, "_n": F.coalesce(before, F.lit(0)) + F.coalesce(late, F.lit(0)) + F.col("early"), "_before": F.lag(label).over(along)})
+    changed = counted.where(F.col("_before").isNull() | (F.col("_before") != F.col("label")))
+    pid = F.when(F.col("win") == 0, 0).otherwise(F.greatest(F.col("_n") - (F.col("label") == 0).cast("int"), F.lit(0)))
+    last = changed.select("chrom", pid.cast("int").alias("pid_s"), "win", "label").groupBy("chrom", "pid_s").agg(F.max_by("label", "win").alias("label"))
     return _changes(last)
 
 

@@ -206,3 +206,33 @@ def test_as_of_across_stretches(spark):
     sites_ = known.select("chrom", F.col("bp"), (F.col("cm") / 1.5).cast("int").alias("pid"))
     found = genetic_map.sites_up_to(spark.createDataFrame([("1", b) for b in asked], "chrom string, bp long"), sites_).collect()
     assert sorted((r.bp, r.n_sites) for r in found) == sorted((b, sum(p <= b for p in points)) for b in asked)
+
+
+@pytest.mark.parametrize("window", [2.0, 0.7, 0.1, 0.3])
+def test_regions_by_density_against_brute_force(spark, window):
+    """Region starts by the 32-bit product of a window's number and width, windows by division."""
+    import numpy as np
+
+    rng = random.Random(8)
+    cm = sorted({np.float32(rng.choice([rng.uniform(0, 40), window * rng.randrange(60), np.float32(window) * np.float32(rng.randrange(60))])) for _ in range(300)})
+    sites_ = spark.createDataFrame([("1", k, k, float(c)) for k, c in enumerate(cm)], "chrom string, pid int, bp int, cm float")
+    for least in (2, 4):
+        top = max(int(float(max(cm)) / window) + 1, 1)
+        counts = [0] * (top + 1)
+        for c in cm:
+            counts[int(float(c) / window)] += 1
+        found = {(r.pid_s, r.label) for r in windows.density_regions(sites_, window, least).collect()}
+        starts, label = {}, None
+        n_windows = windows.density(sites_, window).count()
+        for win in range(n_windows):
+            own = int((counts[win] if win < len(counts) else 0) >= least)
+            if own != label:
+                at = sum(c <= np.float32(window) * np.float32(win) for c in cm) - (own == 0)
+                starts[0 if win == 0 else max(at, 0)] = own
+                label = own
+        want, label = set(), None
+        for pid, own in sorted(starts.items()):
+            if own != label:
+                want.add((pid, own))
+                label = own
+        assert found == want

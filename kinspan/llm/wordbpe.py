@@ -104,5 +104,5 @@ def load(path: str) -> WordBPE:
 def ids_by_chunk(path: str) -> _docs.Cache:
     """`chunk_ids` of each chunk; those of words serve for their capitals and closing marks too."""
     model = load(path)
-    cache = _docs.Cache(lambda chunk: model.chunk_ids(chunk, cache))
+    cache = _docs.Cache(lambda chunk: model.chunk_ids(chunk, cache), 80 << 20)
     return cache

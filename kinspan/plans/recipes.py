@@ -35,8 +35,37 @@ def view_by_name(segments: DataFrame, samples: DataFrame, sites: DataFrame, samp
     return shown.withColumns({"hap1": F.col("hap1") - 1, "hap2": F.col("hap2") - 1})
 
 
+def _matrix_out(totals: DataFrame, d: int, prefix: str, low_cm: float, high_cm: float, sids: DataFrame | None, haplotypes: bool, width_cm: float, ids: tuple[int, ...] = ()) -> DataFrame:
+    """Band, then subset of `totals` over d samples; written as a matrix file and, as text, its histogram."""
+    found = matrix.band(totals, low_cm, high_cm)
+    if sids is not None:
+        found = matrix.subset(found, sids, haplotypes, d)
+        ids = tuple(sorted(r.sid for r in sids.select("sid").collect()))
+        d = len(ids)
+    cells = d * (1 + haplotypes)
+    writers.matrix_file(found, cells, writers.matrix_name(prefix, low_cm, high_cm), haplotypes, ids)
+    writers.histogram_text(matrix.histogram(found, cells, width_cm), f"{prefix}_hist", cells)
+    return found
+
+
+def matrix_report(
+    segments: DataFrame,
+    d: int,
+    prefix: str,
+    least_cm: float = 2.0,
+    most_cm: float | None = None,
+    haplotypes: bool = False,
+    low_cm: float = 0.0,
+    high_cm: float = 6553.5,
+    sids: DataFrame | None = None,
+    width_cm: float = 1.0,
+) -> DataFrame:
+    """Totals of segments of d samples, written under `prefix` as a matrix file with its histogram as text; gives the totals."""
+    return _matrix_out(matrix.totals(segments, least_cm, most_cm, haplotypes), d, prefix, low_cm, high_cm, sids, haplotypes, width_cm)
+
+
 def matrix_files(spark: SparkSession, paths: list[str], prefix: str, low_cm: float = 0.0, high_cm: float = 6553.5, sids: DataFrame | None = None, width_cm: float = 1.0) -> DataFrame:
-    """The sum of two or more matrix files: band, then subset, written under `prefix` with its histogram as text; gives the totals."""
+    """The sum of two or more matrix files of the same samples, written like `matrix_report`."""
     read = [readers.matrix_file(spark, p) for p in paths]
     heads = [head for _, head in read]
     if len(read) < 2 or len({(h["d"], h["haplotypes"], tuple(h["subset"])) for h in heads}) > 1:
@@ -44,14 +73,21 @@ def matrix_files(spark: SparkSession, paths: list[str], prefix: str, low_cm: flo
     head = heads[0]
     if sids is not None and head["subset"]:
         raise ValueError("these matrices are subsets already")
-    found = matrix.band(matrix.add(*(totals for totals, _ in read)), low_cm, high_cm)
-    d, ids = head["d"], tuple(head["subset"])
-    if sids is not None:
-        found = matrix.subset(found, sids, head["haplotypes"], d // (1 + head["haplotypes"]))
-        ids = tuple(sorted(r.sid for r in sids.select("sid").collect()))
-        d = len(ids) * (1 + head["haplotypes"])
-    writers.matrix_file(found, d, writers.matrix_name(prefix, low_cm, high_cm), head["haplotypes"], ids)
-    writers.histogram_text(matrix.histogram(found, d, width_cm), f"{prefix}_hist", d)
+    d = head["d"] // (1 + head["haplotypes"])
+    return _matrix_out(matrix.add(*(totals for totals, _ in read)), d, prefix, low_cm, high_cm, sids, head["haplotypes"], width_cm, tuple(head["subset"]))
+
+
+def label_report(sites: DataFrame, path: str, window: float = 2.0, least: int = 10, ranges: DataFrame | None = None) -> DataFrame:
+    """Region labels alone, written as text: no segment is cut."""
+    found = labels(sites, window, least, ranges)
+    writers.label_text(found, sites, path)
+    return found
+
+
+def view_report(segments: DataFrame, samples: DataFrame, sites: DataFrame, path: str, sid1: int = 1, sid2: int = 0) -> DataFrame:
+    """`view`, written as tab-separated text."""
+    found = view(segments, samples, sites, sid1, sid2)
+    writers.decoded(found, path, compressed=False)
     return found
 
 

@@ -214,3 +214,26 @@ def test_block_compressed_vcf(spark, tmp_path):
     plain, packed = readers.vcf(spark, str(tmp_path / "v.vcf"), "1"), readers.vcf(spark, str(tmp_path / "v.vcf.gz"), "1", 60)
     for a, b in zip(plain, packed):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_reports_of_matrices_labels_and_views(spark, tmp_path):
+    from kinspan.plans import recipes
+
+    kinds = "chrom string, sid1 int, hid1 tinyint, sid2 int, hid2 tinyint, pid1 int, pid2 int, cm1 float, cm2 float"
+    segments = spark.createDataFrame([("1", 1, 0, 0, 1, 0, 30, 0.0, 3.0), ("1", 2, 1, 0, 0, 0, 25, 0.0, 2.5), ("1", 2, 1, 1, 0, 0, 9, 0.0, 0.9)], kinds)
+    read = lambda name: readers.matrix_file(spark, str(tmp_path / name))
+    recipes.matrix_report(segments, 3, str(tmp_path / "s"))
+    cells, head = read("s.mat")
+    assert sorted(map(tuple, cells.collect())) == [(1, 0, 30), (2, 0, 25)] and head == {"haplotypes": False, "d": 3, "subset": []}
+    lines = "".join(p.read_text() for p in (tmp_path / "s_hist").glob("part-*")).splitlines()
+    assert lines[:4] == ["# pairs: 3", "# pairs of a bin or more: 2", "# samples: 3", "cm\tn_pairs"] and lines[4] == "0.0\t1"
+    sids = spark.createDataFrame([(0,), (2,)], "sid int")
+    recipes.matrix_report(segments, 3, str(tmp_path / "h"), haplotypes=True, sids=sids)
+    cells, head = read("h.mat")
+    assert sorted(map(tuple, cells.collect())) == [(3, 0, 25)] and head == {"haplotypes": True, "d": 4, "subset": [0, 2]}
+    sites = spark.createDataFrame([("1", k, 100 * k + 1, k / 10) for k in range(60)], "chrom string, pid int, bp int, cm float")
+    assert [(r.pid_s, r.label) for r in recipes.label_report(sites, str(tmp_path / "labels")).collect()] == [(0, 1)]
+    assert "".join(p.read_text() for p in (tmp_path / "labels").glob("part-*")).splitlines()[1].split("\t")[:3] == ["1", "0", "1"]
+    samples = spark.createDataFrame([(k, f"n{k}") for k in range(3)], "sid int, name string")
+    recipes.view_report(segments, samples, sites, str(tmp_path / "view"), 0, 2)
+    assert "".join(p.read_text() for p in (tmp_path / "view").glob("part-*")) == "n2\t1\tn0\t0\t1\t1\t2501\t2.5\n"

@@ -75,8 +75,9 @@ def vcf(spark: SparkSession, path: str, chrom: str, range_bytes: int = bgzf.RANG
 def matrix_file(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """Sparse totals of binary matrix files, and what the first one's head says (haplotypes, d, subset).
 
-    Each file is one flag byte, a 32-bit d, a 64-bit byte count with 32-bit ids, and a 64-bit byte count with 16-bit
-    cells of the lower triangle. Cells are turned into rows file by file on the executors.
+    Each file is one flag byte, a 32-bit d, a 64-bit byte count with 32-bit ids, and a 64-bit byte count with the
+    d * (d - 1) / 2 cells of the lower triangle. A cell has 16 bits, or 32 or 64 if that count is twice or four times as
+    large; any other count is an error. Cells are turned into rows file by file on the executors.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -107,7 +108,11 @@ def _matrix(content: bytes, cells: bool = True) -> tuple[int, int, np.ndarray, n
     ids = np.frombuffer(content, "<u4", size // 4, 13)
     if not cells:
         return is_hap, d, ids, np.empty(0, "<u2")
-    return is_hap, d, ids, np.frombuffer(content, "<u2", struct.unpack_from("<Q", content, 13 + size)[0] // 2, 21 + size)
+    n, n_bytes = d * (d - 1) // 2, struct.unpack_from("<Q", content, 13 + size)[0]
+    width = n_bytes // n if n else 2
+    if width not in (2, 4, 8) or n * width != n_bytes:
+        raise ValueError(f"{n_bytes} bytes for {n} cells")
+    return is_hap, d, ids, np.frombuffer(content, f"<u{width}", n, 21 + size)
 
 
 def coverage_file(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 DENSE_CELLS = 50_000_000
 
 
-def write_bytes(spark: SparkSession, path: str, parts: list[bytes]) -> None:
+def write_bytes(spark: SparkSession, path: str, parts: list[bytes | memoryview]) -> None:
     """One binary file, in whatever file system Spark finds the path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
@@ -86,17 +86,20 @@ def dense(totals: DataFrame, d: int, most_cells: int = DENSE_CELLS) -> np.ndarra
 
 
 def matrix_file(totals: DataFrame, d: int, path: str, haplotypes: bool = False, subset: tuple[int, ...] = (), most_cells: int = DENSE_CELLS) -> None:
-    """The binary form of `readers.matrix_file`; a total beyond 16 bits is an error."""
+    """The binary form of `readers.matrix_file`: cells of 16 bits, or where a total is beyond that all of 32, or of 64."""
     if d * (d - 1) // 2 > most_cells:
         raise ValueError(f"more than {most_cells} cells")
-    cells = np.zeros(d * (d - 1) // 2, "<u2")
+    cells, bits = np.zeros(d * (d - 1) // 2, "<u2"), 16
     for row, col, cm10x in totals.select("row", "col", "cm10x").toLocalIterator():
-        if cm10x > 65535:
-            raise OverflowError(f"total of {row}, {col}: {cm10x}")
+        if cm10x >> bits:
+            if cm10x < 0:
+                raise OverflowError(f"total of {row}, {col}: {cm10x}")
+            bits = 64 if cm10x >> 32 else 32
+            cells = cells.astype(f"<u{bits // 8}")
         cells[row * (row - 1) // 2 + col] = cm10x
     ids = np.array(subset, "<u4")
     head = struct.pack("<BIQ", haplotypes, d, ids.nbytes) + ids.tobytes() + struct.pack("<Q", cells.nbytes)
-    write_bytes(totals.sparkSession, path, [head, cells.tobytes()])
+    write_bytes(totals.sparkSession, path, [head, cells.view(np.uint8).data])
 
 
 def coverage_file(coverage: DataFrame, path: str, window: float, most_windows: int = DENSE_CELLS) -> None:

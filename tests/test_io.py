@@ -126,6 +126,37 @@ def test_matrix_file_of_very_many_samples(spark, tmp_path):
     assert cells.count() == 0 and head["subset"] == list(ids)
 
 
+@pytest.mark.parametrize("top, width", [(65535, 2), (65536, 4), (2**32 - 1, 4), (2**32, 8), (2**63 - 1, 8)])
+def test_matrix_file_of_large_totals(spark, tmp_path, top, width):
+    want = [(1, 0, 7), (2, 1, 65535), (3, 1, top), (4, 3, 1)]
+    writers.matrix_file(spark.createDataFrame(want, "row int, col int, cm10x long"), 5, str(tmp_path / "m.mat"), subset=(2, 3))
+    back, head = readers.matrix_file(spark, str(tmp_path / "m.mat"))
+    assert sorted(map(tuple, back.collect())) == want and head == {"haplotypes": False, "d": 5, "subset": [2, 3]}
+    assert (tmp_path / "m.mat").stat().st_size == 21 + 8 + 10 * width
+
+
+def test_matrix_file_of_a_wrong_size_is_an_error(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 7), (4, 3, -1)], "row int, col int, cm10x long")
+    with pytest.raises(OverflowError):
+        writers.matrix_file(cells, 5, str(tmp_path / "m.mat"))
+    for n_bytes in (18, 30, 0):
+        path = tmp_path / f"{n_bytes}.mat"
+        path.write_bytes(b"\0" + (5).to_bytes(4, "little") + bytes(8) + n_bytes.to_bytes(8, "little") + bytes(n_bytes))
+        with pytest.raises(Exception, match=f"{n_bytes} bytes for 10 cells"):
+            readers.matrix_file(spark, str(path))[0].collect()
+
+
+def test_matrix_files_add_to_more_than_16_bits(spark, tmp_path):
+    from kinspan.plans import recipes
+
+    paths = [str(tmp_path / f"{k}.mat") for k in "ab"]
+    for path, total in zip(paths, (65535, 70000)):
+        writers.matrix_file(spark.createDataFrame([(1, 0, 7), (2, 1, total)], "row int, col int, cm10x long"), 3, path)
+    assert sorted(map(tuple, recipes.matrix_files(spark, paths, str(tmp_path / "sum")).collect())) == [(1, 0, 14), (2, 1, 135535)]
+    written = readers.matrix_file(spark, str(tmp_path / "sum.mat"))[0]
+    assert sorted(map(tuple, written.collect())) == [(1, 0, 14), (2, 1, 135535)]
+
+
 def test_matrix_files_are_added_and_subset_once(spark, tmp_path):
     from kinspan.plans import recipes
 

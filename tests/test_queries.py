@@ -88,6 +88,18 @@ def test_each_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL) and set(exchange.QUERIES) == set(exchange.ORACLE_SQL)
 
 
+def test_matrix_binary_of_totals_beyond_16_bits(spark, tmp_path):
+    from kinspan.plans import exchange
+
+    duckdb = pytest.importorskip("duckdb").connect()
+    lines = spark.range(6000).selectExpr("if(id % 3 = 0, 'A', if(id % 3 = 1, 'N', 'R')) as l_returnflag", "id % 100 div 99 as l_suppkey", "cast(id % 7 as int) as l_linenumber", "2 as l_partkey", "id as l_orderkey", "'1996-05-11' as l_shipdate", "50.0D as l_quantity")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    duckdb.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = sorted(duckdb.execute(exchange.ORACLE_SQL["matrix_binary"]).fetchall())
+    assert want == [(2, 0, 5940 * 35), (2, 1, 60 * 35)]
+    assert sorted(map(tuple, exchange.matrix_binary(spark, str(tmp_path)).collect())) == want
+
+
 def test_sources_and_sinks_against_sql(spark, tmp_path):
     """On rows of their own: lineitem, orders and supplier with all columns that the queries read."""
     from kinspan.plans import exchange
